@@ -53,21 +53,18 @@ def _walk(rows: DataFrame, stages: Stages, stop) -> tuple[DataFrame, int]:
     ``open`` rows look up the row of ``up``: its stretch is put before theirs, and its ``up`` becomes theirs; ``stop`` says from the looked-up
     row whether the walk ends. Returns all rows, of which those still open run in circles, and their number.
     """
-    done: list[DataFrame] = []
-    active = stages.put(rows.filter("open"))
-    ended = stages.put(rows.filter("not open"))
-    done.append(ended)
+    whole = stages.put(rows, split="open")
+    done = [whole.filter("not open")]
+    active = whole.filter("open")
     left = active.count()
     while left:
         table = active
         for d in done:
             table = table.unionByName(d)
         look = table.select(F.col("node").alias("l_node"), F.col("up").alias("l_up"), F.col("seg").alias("l_seg"), F.col("open").alias("l_open"))
-        step = stages.put(stop(salted_join(active, look, "up", "l_node", F.col("node"))))
-        now, fresh = stages.put(step.filter("open")), stages.put(step.filter("not open"))
-        stages.drop(step, active)
-        active = now
-        done.append(fresh)
+        step = stages.put(stop(salted_join(active, look, "up", "l_node", F.col("node"), total=left)), split="open")
+        active = step.filter("open")
+        done.append(step.filter("not open"))
         n = active.count()
         if n == left:
             break
@@ -83,7 +80,6 @@ def build(links: DataFrame, child: str, parent: str, order: list[str], rate: int
     stages = Stages(links.sparkSession, "hierarchy")
     parents = stages.put(parents_of(links, child, parent, order))
     splits = lambda c: F.pmod(F.xxhash64(c), F.lit(rate)) == 0
-    none = F.lit(None).cast("long")
 
     # to the next splitter; a root row has no `up` and ends every walk that looks it up
     start = parents.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), F.array().cast("array<long>")).otherwise(F.array("node")).alias("seg"), (F.col("parent").isNotNull() & ~splits(F.col("parent"))).alias("open"))
@@ -119,7 +115,6 @@ def build(links: DataFrame, child: str, parent: str, order: list[str], rate: int
         F.when(F.size("chain") > 0, F.size("chain") - 1).otherwise(F.lit(-1)).cast("long").alias("depth"),
         "chain",
     )
-    _ = none
     return Hierarchy(nodes, parents, stages)
 
 
@@ -140,7 +135,7 @@ def circles(h: Hierarchy) -> DataFrame:
     the end of some jump.
     """
     st = h.stages
-    lost = h.nodes.filter("root_id = -1").select(F.col("node_id").alias("node"))
+    lost = h.nodes.filter(F.size("chain") == 0).select(F.col("node_id").alias("node"))
     jump = st.put(lost.join(h.parents, "node").select("node", F.col("parent").alias("to"), F.col("node").alias("least")))
     n, length = jump.count(), 1
     while length <= n:

@@ -10,22 +10,23 @@ from ..session import Stages, shuffle_width
 
 #: A key with more than this share of the rows is hot; so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 200
+#: So many rows of a key burden no task, whatever their share.
+SMALL = 1000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE) -> list:
+def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None) -> list:
     """The non-null keys with more than ``share`` of the rows: at most ``1 / share`` values by the pigeonhole principle.
 
     The counts are combined on the map side; only the bounded list reaches the driver.
     """
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("t")).collect()[0]["t"]
-    if not total:
+    total = df.count() if total is None else total
+    if total <= SMALL:
         return []
-    # a small table needs no salt
-    return [r["k"] for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > max(total * share, 1000))).collect()]
+    return [r["k"] for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > max(total * share, SMALL))).collect()]
 
 
-def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spread: Column, how: str = "left", share: float = HOT_SHARE) -> DataFrame:
+def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spread: Column, how: str = "left", share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
     """Equi-join in which the rows of a hot key of ``big`` are spread over all shuffle partitions.
 
     ``small`` must be unique on its key: then its at most ``1 / share`` hot rows are repeated once per shuffle partition, the other
@@ -33,7 +34,7 @@ def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
     Null keys match nothing (``how='left'`` keeps the row). Columns other than the key must not clash.
     """
     spark = big.sparkSession
-    hot = hot_keys(big, big_key, share)
+    hot = hot_keys(big, big_key, share, total)
     if not hot:
         return big.join(small, big[big_key] == small[small_key], how)
     n = shuffle_width(spark)
@@ -60,7 +61,7 @@ def exact_quantiles(pairs: DataFrame, probs: dict[str, float], heavy_share: floa
     rows = stages.put(pairs.filter(F.col("value").isNotNull() & F.col("key").isNotNull()).select("key", F.col("value").cast("long").alias("value")))
     sums = stages.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
     total = sums.agg(F.sum("n")).collect()[0][0] or 0
-    edge = max(total * heavy_share, 1000)
+    edge = max(total * heavy_share, SMALL)
     heavy = sums.filter(F.col("n") > edge).collect()  # at most 1 / heavy_share rows
     names = list(probs)
     rank = lambda p, n: F.greatest(F.lit(1), F.ceil(F.lit(p) * n)).cast("long")

@@ -78,11 +78,15 @@ class Stages:
         atexit.register(remove, spark, self.root)
         self.n = 0
 
-    def put(self, df: DataFrame) -> DataFrame:
+    def put(self, df: DataFrame, split: str | None = None) -> DataFrame:
+        """Write ``df`` and read it again; ``split`` names a column to partition the files by."""
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        w = df.write.option("compression", "zstd")
+        (w.partitionBy(split) if split else w).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
+        if split:
+            out = out.select(*df.columns)
         out._arborix_path = path
         return out
 
