@@ -128,5 +128,5 @@ def per_key_profile(links: DataFrame, key: str, value: str, probs: dict[str, flo
 
 def heavy_keys(profile: DataFrame, share: float = 0.01) -> DataFrame:
     """The keys of a profile with at least ``share`` of all distinct (key, value) pairs: key, n_distinct."""
-    total = profile.agg(F.sum("n_distinct").alias("total"))
-    return profile.join(F.broadcast(total), F.col("n_distinct") >= F.col("total") * F.lit(share)).filter("n_distinct > 0").select("key", "n_distinct")
+    total = profile.agg(F.sum("n_distinct")).collect()[0][0] or 0  # one number
+    return profile.filter((F.col("n_distinct") > 0) & (F.col("n_distinct") >= F.lit(float(total) * share))).select("key", "n_distinct")
