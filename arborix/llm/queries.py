@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Stages, read
-from . import mixing, syntax, tokens, topn
+from . import handwritten, mixing, syntax, tokens, topn
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(read(spark, d, "source_files")).select("file_id")
+
+
+def p1_origins(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.classify(read(spark, d, "source_files"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +50,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(drawn, targets)
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_faults, p4_rates, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_found, p4_faults, p4_rates, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
 
 SQL = {
     "p5_found": """WITH one AS (
