@@ -1,0 +1,11 @@
+"""Small numeric column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def log_odds(p: Column) -> Column:
+    """The logarithm of p / (1 - p)."""
+    return F.log(p / (1 - p))
