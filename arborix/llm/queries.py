@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import Stages, read
-from . import handwritten, mixing, syntax, tokens, topn
+from . import handwritten, mixing, syntax, tokens, topn, truncation
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +50,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(drawn, targets)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_found, p4_faults, p4_rates, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(read(spark, d, "documents")).select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(read(spark, d, "documents"))
+
+
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.length_limits(read(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_found, p4_faults, p4_rates, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_rates, p9_limits)}
 
 SQL = {
     "p5_found": """WITH one AS (
