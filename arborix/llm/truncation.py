@@ -29,8 +29,10 @@ from .mixing import source_key
 STRETCH, BELOW, STANDS_OUT, LEAST = 64, 4, 5.0, 8
 #: Share of texts above a limit that a source may have (other spellings of a limit, damaged rows).
 ABOVE = 0.01
+#: Posterior of a text of unknown source at a limit that some source has.
+UNKNOWN = 0.6
 #: Prior of a loss on the way, and the weight of a mark of omission at a limit.
-LOST = 0.03
+LOST = 0.04
 # Marks that are put where a text was cut.
 _MARK = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\[truncated\])$"
 _SEGMENT = r"(?<=[.!?])[ \t]+(?=\S)|\n+"
@@ -73,10 +75,16 @@ def length_limits(docs: DataFrame) -> DataFrame:
                 at_risk = int(c[x >= lim - d].sum())
                 if found:
                     # those of the limit itself are censored, so the exposure below it is the uncensored model's
-                    out.append((h["source"].iloc[0], h["unit"].iloc[0], lim - d, lim, max(0.0, 1 - hazard * at_risk / found)))
-        return pd.DataFrame(out, columns=["source", "unit", "at", "limit", "posterior"])
+                    out.append((lim - d, lim, max(0.0, 1 - hazard * at_risk / found), int(c[i])))
+        return pd.DataFrame(out, columns=["at", "limit", "posterior", "found"])
 
-    return hist.groupBy("source", "unit").applyInPandas(fit, "source string, unit string, at long, limit long, posterior double")
+    def both(h: pd.DataFrame) -> pd.DataFrame:
+        """The limits of a source in the unit in which more texts end at them."""
+        got = pd.concat([fit(g).assign(unit=u) for u, g in h.groupby("unit")])
+        best = got.sort_values(["found", "unit"], ascending=[False, False]).drop_duplicates("limit")[["limit", "unit"]] if len(got) else got[["limit", "unit"]]
+        return got.merge(best, on=["limit", "unit"]).assign(source=h["source"].iloc[0])[["source", "unit", "at", "limit", "posterior"]]
+
+    return hist.groupBy("source").applyInPandas(both, "source string, unit string, at long, limit long, posterior double")
 
 
 def _skeleton(c: Column) -> Column:
@@ -84,13 +92,16 @@ def _skeleton(c: Column) -> Column:
 
 
 def _with_keys(segments: DataFrame) -> DataFrame:
-    """k1, k2: how a segment begins; end: the class of its last token; n: its number of tokens, more than 24 counting as 25."""
+    """k1, k2: how a segment begins; end: the class of its last token and, without a full stop, its number of tokens n (25 and more alike)."""
     t = segments.withColumn("tok", F.regexp_extract_all("seg", F.lit(_TOKEN), F.lit(0)))
     t = t.withColumn("n", F.least(F.size("tok"), F.lit(25)).cast("long")).withColumn("last", F.element_at("tok", -1))
     indent = F.when(F.col("seg").rlike(r"^(?: {2}|\t)"), ">").otherwise("")
     first = _skeleton(F.col("tok")[0])
     second = F.coalesce(_skeleton(F.get("tok", F.lit(1))), F.lit(""))
-    cls = F.when(F.col("last").rlike(r"^\p{N}+$"), "0").when(F.col("last").rlike(r"^[\p{L}\p{N}_]"), "w").otherwise(F.col("last"))
+    kind = F.when(F.col("last").rlike(r"^\p{N}+$"), "0").when(F.col("last").rlike(r"^[\p{L}\p{N}_]"), "w").otherwise(F.col("last"))
+    marks = F.col("seg").rlike(_MARK)
+    # where a sentence has its stop, its length tells nothing more
+    cls = F.when(marks, F.concat(F.lit("… "), F.col("n").cast("string"))).when(kind.isin(".", "!", "?"), ".").otherwise(F.concat(kind, F.lit(" "), F.col("n").cast("string")))
     return t.withColumn("k1", F.concat(indent, first)).withColumn("k2", F.concat(indent, first, F.lit(" "), second)).withColumn("end", cls).drop("tok")
 
 
@@ -143,12 +154,17 @@ def score(docs: DataFrame) -> DataFrame:
     base = docs.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(
         "doc_id", _source(docs).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\s+$", "").alias("t0")
     )
-    base = base.withColumn("mark", F.regexp_extract("t0", _MARK, 0)).withColumn("t", F.regexp_replace("t0", _MARK, "")).drop("t0")
-    limits = stages.put(length_limits(docs))
+    limits = length_limits(docs)
+    # a text of unknown source may come from any: the limits of all sources are its candidates
+    anyone = limits.filter("at = limit and posterior > 0.9 and source <> ''").groupBy("unit", "at").agg(F.max("limit").alias("limit"))
+    limits = stages.put(limits.filter("source <> ''").unionByName(anyone.select(F.lit("").alias("source"), "unit", "at", "limit", F.lit(UNKNOWN).alias("posterior"))))
     for unit in ("chars", "bytes"):
         lim = limits.filter(F.col("unit") == unit).groupBy("source", "at").agg(F.max(F.struct("posterior", "limit")).alias(f"l_{unit}"))
         base = base.join(lim.withColumnRenamed("at", unit), ["source", unit], "left")
     base = base.withColumn("lim", F.greatest("l_chars", "l_bytes")).drop("l_chars", "l_bytes")
+    # a mark of omission belongs to the cut where a limit makes cuts, and to the text elsewhere
+    near = F.coalesce(F.col("lim.posterior"), F.lit(0.0)) > 0.3
+    base = base.withColumn("mark", F.when(near, F.regexp_extract("t0", _MARK, 0)).otherwise("")).withColumn("t", F.when(near, F.regexp_replace("t0", _MARK, "")).otherwise(F.col("t0"))).drop("t0")
 
     parts = F.split("t", _SEGMENT)
     rows = stages.put(base.select("*", F.filter(parts, lambda s: F.trim(s) != "").alias("segs")))
@@ -156,38 +172,41 @@ def score(docs: DataFrame) -> DataFrame:
     segs = stages.put(_with_keys(segs.withColumn("final", F.col("pos") == F.col("m") - 1).drop("pos", "m")).filter("n > 0"))
     # segments that are followed by more text are complete; last ones of texts that no limit cut are so but for few
     whole = segs.filter("not final or not cut").select("k1", "k2", "end", "n", "final", "source", "last")
+    inside = segs.filter("not final")
     by = lambda *k: whole.groupBy(*k).agg(F.count(F.lit(1)).alias("c"))
     last = segs.filter("final").select("doc_id", "k1", "k2", "end", "n", "last")
-    ends = by("end", "n").withColumnRenamed("c", "c0")
     n_all = whole.count()
     alpha = 4.0
     p = rows.select("doc_id", "source", "lim", "mark", "t").join(last, "doc_id")
-    # a cut text's mark stands for whatever would have come; a complete one's for its full stop
     marked = F.col("mark") != ""
-    p = p.withColumn("e", F.when(marked & ~F.col("end").isin(".", "!", "?"), F.lit(".")).otherwise(F.col("end"))).withColumn("m", F.when(marked & ~F.col("end").isin(".", "!", "?"), F.least(F.col("n") + 1, F.lit(25))).otherwise(F.col("n")))
-    p = p.join(ends.select(F.col("end").alias("e"), F.col("n").alias("m"), "c0"), ["e", "m"], "left").withColumn("p0", (F.coalesce("c0", F.lit(0)) + 0.5) / (n_all + 50.0))
+    tail_mark = F.col("end").startswith("… ")
+    # counts of each ending: of all texts, of the source, and of the segments that begin alike
+    p = p.join(by("end").withColumnRenamed("c", "c_any"), "end", "left").join(by("source", "end").withColumnRenamed("c", "c_src"), ["source", "end"], "left").join(by("source").withColumnRenamed("c", "t_src"), "source", "left")
+    own = F.when(F.coalesce(F.col("lim.posterior"), F.lit(0.0)) > 0.5, 0).otherwise(1)  # a text's own last segment is among the counts
+    less = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - own, F.lit(0))
+    p = p.withColumn("p_any", (less("c_any") + 0.5) / (n_all + 50.0)).withColumn("p_src", (less("c_src") + 20 * F.col("p_any")) / (less("t_src") + 20.0))
     for k in ("k1", "k2"):
-        cell = by(k, "end", "n").select(F.col(k), F.col("end").alias("e"), F.col("n").alias("m"), F.col("c").alias(f"c_{k}"))
-        p = p.join(cell, [k, "e", "m"], "left").join(by(k).select(F.col(k), F.col("c").alias(f"t_{k}")), k, "left")
-        c, t = F.coalesce(f"c_{k}", F.lit(0)), F.coalesce(f"t_{k}", F.lit(0))
-        # a text's own last segment is among the counts and is taken out again
-        own = F.when(F.coalesce(F.col("lim.posterior"), F.lit(0.0)) > 0.5, 0).otherwise(1)
-        p = p.withColumn(f"p_{k}", (F.greatest(c - own, F.lit(0)) + alpha * F.col("p0")) / (F.greatest(t - own, F.lit(0)) + alpha))
-    # what a cut at a random character leaves: mostly words, at any number of tokens
-    chance = F.when(F.col("e") == "w", 0.85).when(F.col("e") == "0", 0.05).when(F.col("e").isin(".", "!", "?"), 0.015).otherwise(0.02) / F.lit(14.0)
-    p = p.withColumn("chance", F.when(marked, F.lit(1 / 14.0)).otherwise(chance))
+        p = p.join(by(k, "end").withColumnRenamed("c", f"c_{k}"), [k, "end"], "left").join(by(k).withColumnRenamed("c", f"t_{k}"), k, "left")
+        p = p.withColumn(f"p_{k}", (less(f"c_{k}") + alpha * F.col("p_src")) / (less(f"t_{k}") + alpha))
+    # what a cut at a random character leaves: mostly words, after any number of tokens
+    kind = F.substring("end", 1, 1)
+    chance = F.when(kind == "w", 0.85 / 14).when(kind == "0", 0.05 / 14).when(F.col("end") == ".", 0.015).otherwise(0.03 / 14)
+    p = p.withColumn("chance", chance)
     clip = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    p = p.withColumn("w_end", clip(F.least(F.log(F.col("p_k1") / F.col("chance")), F.log(F.col("p_k2") / F.col("chance"))), -6.0, 5.0))
+    p = p.withColumn("w_end", clip(F.least(F.log(F.col("p_k1") / F.col("chance")), F.log(F.col("p_k2") / F.col("chance"))), -6.5, 5.0))
+    # an ending that many texts have word for word but for a word or number is a formula of its own
+    formula = less("c_k2") >= 5
 
     # last words: how often the corpus has them at all, and how often at the end of a segment
     words = segs.select("final", "cut", "last", F.explode(F.regexp_extract_all("seg", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
     seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("v"))
-    tail = whole.filter("end = 'w'").groupBy("last").agg(F.count(F.lit(1)).alias("tails"), F.count_if("final").alias("finals"))
+    tail = whole.filter("end like 'w %'").groupBy("last").agg(F.count(F.lit(1)).alias("tails"), F.count_if("final").alias("finals"))
     p = p.join(seen.withColumnRenamed("word", "last"), "last", "left").join(tail, "last", "left")
     inner = F.coalesce("v", F.lit(0)) - F.coalesce("finals", F.lit(0))
     name = F.col("last").rlike(r"_|\d|\p{Ll}\p{Lu}")
-    fragment = F.when(F.col("e") != "w", 0.0).when((inner <= 0) & ~name, -4.0).when((inner <= 0) & name, -0.7).otherwise(clip(F.log((F.coalesce("tails", F.lit(0)) + 0.3) / (F.col("v") + 10.0) / 0.02), -3.0, 1.0))
-    p = p.withColumn("w_word", F.when(marked, F.when((F.col("end") == "w") & (inner <= 0) & ~name, -4.0).otherwise(0.0)).otherwise(fragment))
+    rate = clip(F.log((F.coalesce("tails", F.lit(0)) + 0.3) / (F.col("v") + 10.0) / 0.02), -3.0, 0.5)
+    fragment = F.when(kind != "w", 0.0).when(inner <= 0, F.when(formula, 0.0).when(name, -0.7).otherwise(-4.0)).otherwise(rate)
+    p = p.withColumn("w_word", fragment)
 
     # which segments end texts of a source at all (an inner line of code does not)
     src = segs.filter("not cut").groupBy("source", "k1").agg(F.count(F.lit(1)).alias("s_all"), F.count_if("final").alias("s_fin"))
