@@ -111,7 +111,7 @@ def build(links: DataFrame, child: str, parent: str, order: list[str], rate: int
     chain = F.when(F.col("up").isNull(), F.array("node")).when(F.col("open") | F.col("h_node").isNull(), F.array().cast("array<long>")).otherwise(F.concat("h_seg", "seg"))
     nodes = placed.select(F.col("node").alias("node_id"), chain.alias("chain")).select(
         "node_id",
-        F.when(F.size("chain") > 0, F.col("chain")[0]).otherwise(F.lit(-1)).cast("long").alias("root_id"),
+        F.when(F.size("chain") > 0, F.get("chain", F.lit(0))).otherwise(F.lit(-1)).cast("long").alias("root_id"),
         F.when(F.size("chain") > 0, F.size("chain") - 1).otherwise(F.lit(-1)).cast("long").alias("depth"),
         "chain",
     )

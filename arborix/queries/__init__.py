@@ -1,8 +1,8 @@
 """Registered queries and their equivalent SQL, by module."""
 
-from . import problems
+from . import code, problems
 
-MODULES = [problems]
+MODULES = [problems, code]
 
 
 def all_queries() -> dict:
