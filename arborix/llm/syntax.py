@@ -62,7 +62,7 @@ def check(files: DataFrame) -> DataFrame:
 
 def invalid(files: DataFrame) -> DataFrame:
     """file_id, n_faults, first_line, first_fault of the files that do not parse."""
-    return check(files).filter(F.size("faults") > 0).select("file_id", F.size("faults").cast("long").alias("n_faults"), F.col("faults")[0]["line"].alias("first_line"), F.col("faults")[0]["message"].alias("first_fault"))
+    return check(files).filter(F.size("faults") > 0).select("file_id", F.size("faults").cast("long").alias("n_faults"), F.get("faults", F.lit(0))["line"].alias("first_line"), F.get("faults", F.lit(0))["message"].alias("first_fault"))
 
 
 def rates(files: DataFrame) -> DataFrame:

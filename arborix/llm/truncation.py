@@ -96,7 +96,7 @@ def _with_keys(segments: DataFrame) -> DataFrame:
     t = segments.withColumn("tok", F.regexp_extract_all("seg", F.lit(_TOKEN), F.lit(0)))
     t = t.withColumn("n", F.least(F.size("tok"), F.lit(25)).cast("long")).withColumn("last", F.element_at("tok", -1))
     indent = F.when(F.col("seg").rlike(r"^(?: {2}|\t)"), ">").otherwise("")
-    first = _skeleton(F.col("tok")[0])
+    first = _skeleton(F.get("tok", F.lit(0)))
     second = F.coalesce(_skeleton(F.get("tok", F.lit(1))), F.lit(""))
     kind = F.when(F.col("last").rlike(r"^\p{N}+$"), "0").when(F.col("last").rlike(r"^[\p{L}\p{N}_]"), "w").otherwise(F.col("last"))
     marks = F.col("seg").rlike(_MARK)
