@@ -17,13 +17,26 @@ _NUM = r"0[xX](?:_?[0-9a-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d
 _PUNCT = r"\*\*=|//=|>>=|<<=|\.\.\.|!=|->|:=|\*\*|//|>>|<<|<=|>=|==|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[()\[\]{},:;.=+\-*/%&|^~<>@]"
 TOKEN = re.compile(
     rf"(?P<ws>[ \t\f]+|\\\r?\n)|(?P<nl>\r\n|\n|\r)|(?P<com>\#[^\n\r]*)|(?P<num>(?=[.\d])(?:{_NUM}))"
-    r"|(?P<str>(?:[rRuU]|[bB][rR]?|[rR][bB])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n\r]|\\(?:\r\n|[\s\S]))*\"(?!\"(?<=^\"\"\"))|'(?:[^'\\\n\r]|\\(?:\r\n|[\s\S]))*'))"
+    r"|(?P<str>(?:[rRuU]|[bB][rR]?|[rR][bB])?(?:\"\"\"(?:[^\"\\]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\[\s\S]|'(?!''))*'''|\"[^\"\\\n\r]*(?:\\(?:\r\n|[\s\S])[^\"\\\n\r]*)*\"(?!\"(?<=^\"\"\"))|'[^'\\\n\r]*(?:\\(?:\r\n|[\s\S])[^'\\\n\r]*)*'))"
     r"|(?P<f>(?:[fFtT][rR]?|[rR][fFtT])(?:\"\"\"|'''|\"|'))|(?P<name>[^\W\d]\w*)|(?P<p>" + _PUNCT + ")"
 )
 _OPEN_STR = re.compile(r"(?:[rRuU]|[bB][rR]?|[rR][bB])?(\"\"\"|'''|\"|')")
 _BLANK = re.compile(r"([ \t\f]*)(?:#[^\n\r]*)?(?:\r\n|\n|\r|$)")
 _SIMPLE_FIELD = re.compile(r"\{[A-Za-z_][\w.]*(?:![rsa])?(?::[^{}'\"\n]*)?\}")
-_CODES: dict[str, str] = {}
+_BLANKS = re.compile(r"[ \t]*")
+_KINDS = {w: w for w in RESERVED} | {w: "name" for w in SOFT}
+_OPENER = {")": "(", "]": "[", "}": "{"}
+
+
+class _Codes(dict):
+    """The key character of a token class, made when first needed."""
+
+    def __missing__(self, k):
+        c = self[k] = code("py " + k)
+        return c
+
+
+_CODES = _Codes()
 
 
 def _f_end(src: str, pos: int, quote: str, raw: bool, holes: list, line_ok: bool, spec: bool = False) -> int:
@@ -124,18 +137,15 @@ def lex(src: str) -> tuple[Tokens, list]:
     kind, start, end, match, keys, holes = t.kind, t.start, t.end, t.match, [], []
     stack: list[tuple[str, int]] = []
     levels: list[str] = [""]
-    token, codes = TOKEN.match, _CODES
+    token, codes, kinds, skip, name_code = TOKEN.match, _CODES, _KINDS.get, _BLANKS.match, _CODES["name"]
+    kind_add, start_add, end_add, key_add = kind.append, start.append, end.append, keys.append
+    pairs: list[tuple[int, int]] = []
 
     def add(k, a, b, key=None):
         kind.append(k)
         start.append(a)
         end.append(b)
-        match.append(-1)
-        key = key or k
-        c = codes.get(key)
-        if c is None:
-            c = codes[key] = code("py " + key)
-        keys.append(c)
+        keys.append(codes[key or k])
 
     def bad(a, b, what):
         t.bad.append((a, what))
@@ -192,6 +202,36 @@ def lex(src: str) -> tuple[Tokens, list]:
                 pos += 1
             continue
         g, e = m.lastgroup, m.end()
+        if g == "name":
+            w = m.group()
+            k = kinds(w)
+            kind_add(k or "name")
+            start_add(pos)
+            end_add(e)
+            key_add(name_code if k is None else codes[w])
+            pos = skip(src, e).end()
+            continue
+        if g == "p":
+            p = m.group()
+            kind_add(p)
+            start_add(pos)
+            end_add(e)
+            key_add(codes[p])
+            if p in "([{":
+                stack.append((p, len(kind) - 1))
+            elif p in ")]}":
+                i = len(kind) - 1
+                if stack and stack[-1][0] == _OPENER[p]:
+                    pairs.append((stack.pop()[1], i))
+                else:
+                    what = f"{p!r} closes nothing" if not stack else f"{p!r} does not match {stack[-1][0]!r}"
+                    t.bad.append((pos, what))
+                    kind[-1] = "bad"
+                    keys[-1] = codes["bad"]
+                    if stack:
+                        stack.pop()
+            pos = skip(src, e).end()
+            continue
         if g == "ws" or g == "com":
             if g == "ws" and e == n and src[pos] == "\\":
                 bad(pos, e, "unexpected end after a line continuation")
@@ -203,14 +243,6 @@ def lex(src: str) -> tuple[Tokens, list]:
                 fresh = True
             pos = e
             continue
-        if g == "name":
-            w = m.group()
-            if w in RESERVED:
-                add(w, pos, e)
-            else:
-                add("name", pos, e, w if w in SOFT else "name")
-            pos = e
-            continue
         if g == "num":
             w = m.group()
             if e < n and (src[e] == "_" or src[e].isalnum()) and not re.compile(r"(?:and|else|for|if|in|is|not|or)\b").match(src, e):
@@ -243,22 +275,6 @@ def lex(src: str) -> tuple[Tokens, list]:
                 add("str", pos, e2)
             pos = e2
             continue
-        p = m.group()
-        add(p, pos, e)
-        if p in "([{":
-            stack.append((p, len(kind) - 1))
-        elif p in ")]}":
-            i = len(kind) - 1
-            if stack and stack[-1][0] == {")": "(", "]": "[", "}": "{"}[p]:
-                _, at = stack.pop()
-                match[at], match[i] = i, at
-            else:
-                what = f"{p!r} closes nothing" if not stack else f"{p!r} does not match {stack[-1][0]!r}"
-                t.bad.append((pos, what))
-                kind[-1] = "bad"
-                if stack:
-                    stack.pop()
-        pos = e
     if stack:
         t.bad.append((start[stack[0][1]], f"{stack[0][0]!r} was never closed"))
         add("bad", start[stack[0][1]], n)
@@ -267,5 +283,8 @@ def lex(src: str) -> tuple[Tokens, list]:
     for _ in levels[1:]:
         add("dedent", n, n)
     add("eof", n, n)
+    match.extend([-1] * len(kind))
+    for a, b in pairs:
+        match[a], match[b] = b, a
     t.key = "".join(keys)
     return t, holes

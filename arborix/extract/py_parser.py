@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .base import Fault, Memo, Node, Parsed
-from .py_lexer import RESERVED, lex
+from .py_fast import lex
+from .py_lexer import RESERVED
 
 # Binding powers of the binary operators.
 BINARY = {"|": 1, "^": 2, "&": 3, "<<": 4, ">>": 4, "+": 5, "-": 5, "*": 6, "/": 6, "//": 6, "%": 6, "@": 6}
