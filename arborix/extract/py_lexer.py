@@ -23,6 +23,8 @@ TOKEN = re.compile(
 _OPEN_STR = re.compile(r"(?:[rRuU]|[bB][rR]?|[rR][bB])?(\"\"\"|'''|\"|')")
 _BLANK = re.compile(r"([ \t\f]*)(?:#[^\n\r]*)?(?:\r\n|\n|\r|$)")
 _SIMPLE_FIELD = re.compile(r"\{[A-Za-z_][\w.]*(?:![rsa])?(?::[^{}'\"\n]*)?\}")
+# lines that begin like this stand in no brackets
+_STATEMENT = re.compile(r"[ \t]*(?:def|class|return|import|while|try|raise|assert|del|global|nonlocal|pass|break|continue|finally|except|elif|with)\b")
 _BLANKS = re.compile(r"[ \t]*")
 _KINDS = {w: w for w in RESERVED} | {w: "name" for w in SOFT}
 _OPENER = {")": "(", "]": "[", "}": "{"}
@@ -238,6 +240,11 @@ def lex(src: str) -> tuple[Tokens, list]:
             pos = e
             continue
         if g == "nl":
+            if stack and _STATEMENT.match(src, e):
+                # no expression goes on like this: the bracket was never closed
+                o, at = stack[0]
+                bad(start[at], e, f"{o!r} was never closed")
+                stack.clear()
             if not stack:
                 add("newline", pos, e)
                 fresh = True

@@ -359,9 +359,12 @@ class PyParser:
                 self.fail("expected an indented block" if self.K[self.i] != "bad" else None)
             kids = []
             self.suite_body(kids, "dedent")
+            j = self.i - 1
+            while self.K[j] in ("newline", "indent", "dedent"):
+                j -= 1
             if not self.eat("dedent") and self.K[self.i] != "eof":
                 self.fail("expected an unindent")
-            return Node("block", a, kids[-1].e if kids else a, kids)
+            return Node("block", a, self.E[j], kids)
         if self.K[self.i] in _COMPOUND and self.K[self.i] != "@":
             self.fail("a compound statement cannot stand here")
         s = self.simple_line()

@@ -433,7 +433,9 @@ class RsParser:
         self.where()
         self.need("{")
         kids = []
-        self.attributes()
+        while self.K[self.i] == "#" and self.K[self.i + 1] == "!":
+            self.i += 2
+            self.tree()
         self.items(kids, "}", lambda: self.item("impl"))
         self.need("}")
         return self.node("impl", a, kids, name)

@@ -10,6 +10,8 @@ from .js_parser import parse as parse_js
 
 # Elements that have no end tag.
 VOID = frozenset("area base br col command embed hr img input keygen link meta param source track wbr !doctype".split())
+# Elements whose end tag may be left out.
+OMITTED = frozenset("li dt dd p rt rp optgroup option thead tbody tfoot tr td th colgroup".split())
 _TAG_NAME = re.compile(r"!?[A-Za-z][A-Za-z0-9_$.:-]*")
 _ATTR_NAME = re.compile(r"[^\s=>\"'/{]+")
 _SPACE = re.compile(r"\s*")
@@ -310,11 +312,10 @@ class SvelteParser:
                     self.expression(body, at)
                     return e + 1
                 raise Fault(at, "unknown block end")
-            while stack and stack[-1][0] == "element":
-                if any(k == "block" for k, _, _ in stack):
-                    # an element that its block leaves open
-                    raise Fault(stack[-1][2], f"<{stack.pop()[1]}> was left open")
-                break
+            while stack and stack[-1][0] == "element" and any(k == "block" for k, _, _ in stack):
+                _, name, left = stack.pop()
+                if name not in OMITTED:
+                    raise Fault(left, f"<{name}> was left open")
             if not stack or stack[-1][0] != "block" or stack[-1][1] != m.group(1):
                 raise Fault(at, "the end of another block")
             stack.pop()

@@ -94,7 +94,7 @@ def _select_heavy(spark: SparkSession, rows: DataFrame, heavy: list, probs: dict
         table = [(k, c, lo, (hi - lo) // bins + 1, hi) for (k, c), (lo, hi, _) in open_.items()]
         kind = dict(rows.dtypes)["key"]
         spans = spark.createDataFrame(table, f"k {kind}, q string, lo long, width long, hi long")  # at most 1 / heavy_share * quantiles rows
-        hist = rows.join(F.broadcast(spans), (F.col("key") == F.col("k")) & F.col("value").between(F.col("lo"), F.col("hi"))).groupBy("k", "q", F.expr("(value - lo) div width").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+        hist = rows.join(F.broadcast(spans), (F.col("key") == F.col("k")) & F.col("value").between(F.col("lo"), F.col("hi"))).groupBy("k", "q", F.expr("(CAST(value AS DECIMAL(20)) - lo) DIV width").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         below = Window.partitionBy("k", "q").orderBy("bin")
         wanted = spark.createDataFrame([(k, c, rank) for (k, c), (_, _, rank) in open_.items()], f"k {kind}, q string, rank long")
         # at most `bins` rows per key and quantile here

@@ -36,9 +36,8 @@ def scan_files(spark: SparkSession, root: str, include_tests: bool = True, respe
         rows = rows.filter("not is_test")
     if respect_ignores and (known := listed_paths(base)) is not None:
         rows = rows.join(spark.createDataFrame([(p,) for p in known], "known string"), F.col("path") == F.col("known"), "left_semi")
-    # a byte sequence that is not UTF-8 does not survive decoding and encoding
-    text = rows.withColumn("text", F.decode("content", "UTF-8"))
-    good = F.encode("text", "UTF-8") == F.col("content")
+    text = rows.withColumn("text", F.col("content").cast("string"))
+    good = F.is_valid_utf8("text")
     files = text.filter(good).select("path", "language", F.col("text").alias("content"), "is_test", F.sha2("text", 256).alias("content_sha256"))
     return files, text.filter(~good).select("path", "language")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,8 +59,8 @@ class IndexStore:
 
     def tables(self) -> dict[str, DataFrame] | None:
         """The tables in force; None where any is missing or damaged."""
-        v = self.pointer.current_version()
         try:
+            v = self.pointer.current_version()
             out = {t: self.spark.read.parquet(f"{self.root}/{v}/{t}") for t in self.TABLES}
             for t in out.values():
                 t.limit(1).collect()  # a damaged file shows now
@@ -68,9 +69,10 @@ class IndexStore:
             return None
 
     def write(self, tables: dict[str, DataFrame], meta: IndexMeta) -> None:
-        old = self.pointer.current_version()
-        import uuid
-
+        try:
+            old = self.pointer.current_version()
+        except Exception:  # a damaged pointer is replaced
+            old = None
         v = f"v-{uuid.uuid4().hex}"
         for name in self.TABLES:
             tables[name].write.parquet(f"{self.root}/{v}/{name}")

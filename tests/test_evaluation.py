@@ -1,0 +1,60 @@
+"""Evaluation relations, text rules, payloads and rendering."""
+
+from pyspark.sql import functions as F
+
+from arborix.functions import payload, render
+from arborix.functions import text as T
+from arborix.operators import evalmatrix as ev
+
+
+def test_differences(spark):
+    s = spark.createDataFrame([("a", "A"), ("b", "D")], "path string, status string")
+    n = spark.createDataFrame([("b", 0, 3), ("c", 2, 1)], "path string, added long, deleted long")
+    assert {tuple(r) for r in ev.difference_summary(s, n, ["path"]).collect()} == {("a", "A", 0, 0), ("b", "D", 0, 3), ("c", "M", 2, 1)}
+
+
+def test_candidates(spark):
+    found = spark.createDataFrame([("r", 1, 5), ("r", 2, 1), ("r", 1, 0), ("s", 1, 3), ("t", 9, 2)], "repo string, issue long, seq long")
+    known = spark.createDataFrame([("t", 9)], "repo string, issue long")
+    pool = ev.candidate_pool(found, known, ["repo", "issue"], "seq", 2)
+    assert [(r.repo, r.issue) for r in pool.orderBy("seq").collect()] == [("r", 1), ("r", 2)]
+    chosen = spark.createDataFrame([("r", 2, 0), ("r", 2, 1), ("x", 1, 2)], "repo string, issue long, at long")
+    assert {(r.repo, r.fault) for r in ev.selection_faults(chosen, pool, ["repo", "issue"], 2).collect()} == {("x", "unknown"), ("r", "repeated"), (None, "too_many")}
+    assert [r.rank for r in ev.shortlist(chosen.limit(1), pool, ["repo", "issue"], "at").collect()] == [1]
+
+
+def test_runs_and_labels(spark):
+    runs = spark.createDataFrame([("t", "20260101T000000Z", "a", 1), ("t", "20260201T000000Z", "b", 2), ("u", "2", "a", 3)], "task string, run_id string, agent string, x long")
+    assert {(r.task, r.x) for r in ev.latest(runs, ["task"]).collect()} == {("t", 2), ("u", 3)}
+    assert {(r.task, r.runs) for r in ev.runs_per_agent(runs, "task", "agent").collect()} == {("t", "a 1, b 1"), ("u", "a 1")}
+    v = spark.createDataFrame([("t", "control"), ("t", "tool")], "task string, variant string")
+    labels = ev.blind_order(v, "task", "variant", T.stable_token(F.col("task"), F.col("variant")))
+    rows = spark.createDataFrame([("t", "A"), ("t", "B"), ("t", "tie")], "task string, winner string")
+    assert {r.winner for r in ev.reveal(rows, labels, "task", "winner").collect()} == {"control", "tool", "tie"}
+    j = spark.createDataFrame([("c", 0, "old"), ("c", 1, "new"), ("d", 0, "x")], "judge string, prio int, v string")
+    assert {(r.judge, r.v) for r in ev.judgment_union(j, "judge", "prio").collect()} == {("c", "new"), ("d", "x")}
+
+
+def test_text_rules(spark):
+    df = spark.createDataFrame([("  Fix the `Parser`: crash!  ",), ("A\n\n long   " + "word " * 30,), (None,)], "t string")
+    r = df.select(T.slugify(F.col("t"), 12), T.truncate_text(F.col("t"), 20), T.kind_hint(F.col("t")), T.prompt_title(F.col("t"))).collect()
+    assert r[0][0] == "fix-the-pars" and r[0][2] == "bug" and r[0][3] == "Fix the Parser: crash!"
+    assert r[1][1] == "A long word word..." and r[2][0] is None
+    d = spark.createDataFrame([("3\t-\tx y", "R100\told\tnew")], "a string, b string").select(T.numstat(F.col("a")), T.name_status(F.col("b"))).collect()[0]
+    assert tuple(d[0]) == (3, -1, "x y") and tuple(d[1]) == ("R", "new", "old")
+
+
+def test_payloads():
+    wrapped = {"result": 'text {"scores": {"A": {}, "B": {}}, "better_overall": "B"} tail'}
+    got = payload.unwrap(wrapped, payload.is_judgment)
+    assert got["better_overall"] == "B" and payload.ranking(got) == ["B", "A"]
+    assert payload.unwrap("no json", payload.is_judgment) is None and payload.first_json("x {bad} {\"a\": 1}") == {"a": 1}
+
+
+def test_rendering():
+    c = render.Colors(True)
+    assert render.highlight("é ab", [(3, 5)], c) == f"é {c.paint('match', 'ab')}" and render.highlight("é", [(1, 2)], c) == "é"
+    assert render.color_choice(["--color", "always", "--color=never"]) == "never"
+    assert render.hidden_context(1, 2) == "1 more caller and 2 more references hidden" and render.hidden_context(0, 0) is None
+    assert render.hidden_test_callers(1, 5, True) == "1 test caller hidden" and render.hidden_test_callers(2, 5, False).startswith("Only test callers")
+    assert render.hidden_test_callers(7, 5, True) == "2 more test callers hidden" and render.hidden_test_references(1, 5).startswith("Only")
