@@ -24,7 +24,7 @@ def top_n(rows: DataFrame, group: list[str], order: list[Column], ident: str, n:
 
     ``order`` must end in a unique column for a fixed result. Nulls in group columns form groups of their own. Empty input: no rows.
     """
-    kinds = {f.name: f for f in rows.schema}
+    kinds = {f.name: StructField(f.name, f.dataType) for f in rows.schema}  # the rows of sizes have nulls where a column may have none
     schema = StructType([kinds[g] for g in group] + [kinds[ident], StructField("_rn", LongType()), StructField("_pid", LongType()), StructField("_n", LongType())])
 
     def number(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

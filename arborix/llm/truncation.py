@@ -49,7 +49,9 @@ def length_limits(docs: DataFrame) -> DataFrame:
     ``unit`` is ``chars`` or ``bytes``; ``at`` runs from the limit down over the few lengths to which trimmed blanks or a broken character
     shorten a cut text. Only a histogram per source, merged on the map side, meets in one place.
     """
-    base = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(_source(docs).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"))
+    base = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(_source(docs).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.col("text").alias("_t"))
+    # a text that was delivered many times is one text
+    base = base.withColumn("h", F.xxhash64("_t")).drop("_t").distinct()
     hist = base.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "x")).groupBy("source", "unit", "x").agg(F.count(F.lit(1)).alias("n"))
 
     def fit(h: pd.DataFrame) -> pd.DataFrame:
