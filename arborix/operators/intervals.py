@@ -19,8 +19,7 @@ def enclosing(points: DataFrame, intervals: DataFrame, group: str, at: str, star
     so neither a group with many intervals nor a pair count can blow up one task, and the choice is one aggregation per point.
     """
     iv = intervals.filter((F.col(end) != 0) & F.col(start).isNotNull() & F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.struct(F.col(start).alias("_s"), F.col(ident).alias("_i"), *keep).alias("_v"))
-    pts = points.withColumn("_pid", F.monotonically_increasing_id())
-    probe = pts.select(F.col(group).alias("_pg"), F.col(at).alias("_at")).distinct()
+    probe = points.select(F.col(group).alias("_pg"), F.col(at).alias("_at")).distinct()
     cond = (F.col("_pg") == F.col("_g")) & F.col("_at").between(F.col("_s"), F.col("_e"))
     if bucket:
         iv = iv.filter(F.col("_e") >= F.col("_s")).withColumn("_b", F.explode(F.sequence(F.expr(f"_s div {bucket}"), F.expr(f"_e div {bucket}"))))
