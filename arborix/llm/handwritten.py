@@ -27,12 +27,13 @@ REUSE, REUSE_RATIO = 0.55, 0.45  # one rule covers this much, and the grammar is
 FOLDED = 0.2  # a grammar this small is repetition whatever its largest rule
 COPIED, STRETCH = 0.4, 20  # share of tokens under rules that other repositories have too, and the tokens of such a rule
 SHORT_NAMES, NAMES = 2.6, 12  # mean length of names in packed code, and how many there must be
-LITERAL, LITERAL_CHARS, UNFOLDED = 0.5, 300, 0.92  # share of characters in literals, how many, and how little their characters fold
-#: Tokens and characters worked on at once; a longer file is cut into pieces whose figures add up.
+LITERAL, LITERAL_CHARS, UNFOLDED = 0.5, 300, 0.92  # share of characters in literals, how many, and how little their characters fold next to random ones
+#: Tokens and characters worked on at once; a longer file is cut between tokens into pieces whose figures add up.
 BATCH_TOKENS, PIECE_CHARS = 400_000, 1_000_000
 
-_LEXEMES = r"\"(?:[^\"\\\n]|\\[\s\S])*\"|'(?:[^'\\\n]|\\[\s\S])*'"
-_C_LIKE = re.compile(rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|{_LEXEMES}|`(?:[^`\\]|\\[\s\S])*`|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|\w+")
+# possessive, since a literal of millions of characters would keep as many places to go back to
+_LEXEMES = r"\"(?:[^\"\\\n]++|\\[\s\S])*+\"|'(?:[^'\\\n]++|\\[\s\S])*+'"
+_C_LIKE = re.compile(rf"//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|{_LEXEMES}|`(?:[^`\\]++|\\[\s\S])*+`|[A-Za-z_$][\w$]*|\d[\w.]*|[^\s\w]|\w+")
 _HASH = re.compile(rf"\#[^\n]*|\"\"\"[\s\S]*?(?:\"\"\"|\Z)|'''[\s\S]*?(?:'''|\Z)|{_LEXEMES}|[A-Za-z_]\w*|\d[\w.]*|[^\s\w]|\w+")
 # Words that carry structure, of all the languages together.
 _KEYWORDS = frozenset(
@@ -59,15 +60,18 @@ class _Vocabulary(dict):
         return n
 
 
-def _pieces(text: str) -> Iterator[str]:
-    """The text in pieces of bounded length, cut at line ends where there are any."""
-    a, n = 0, len(text)
-    while n - a > PIECE_CHARS:
-        cut = text.rfind("\n", a, a + PIECE_CHARS) + 1
-        cut = cut if cut > a else a + PIECE_CHARS
-        yield text[a:cut]
-        a = cut
-    yield text[a:]
+def _pieces(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
+    """The tokens of the text in pieces of bounded length; no token is cut, however long."""
+    if len(text) <= PIECE_CHARS:
+        yield pattern.findall(text)
+        return
+    piece, a = [], 0
+    for m in pattern.finditer(text):
+        if m.end() - a > PIECE_CHARS and piece:
+            yield piece
+            piece, a = [], m.start()
+        piece.append(m[0])
+    yield piece
 
 
 def _measure(owners: list[int], parts: list[list[str]], hashed: list[bool], n_files: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,19 +133,33 @@ def _measure(owners: list[int], parts: list[list[str]], hashed: list[bool], n_fi
     return figures, rule[whole], owner[rule_piece[whole]], rule_size[whole]
 
 
+def _grammar_size(codes: np.ndarray) -> float:
+    symbols, rules, _ = grammar.repair(codes, np.zeros(len(codes), np.int64), 1)
+    return float(symbols[0] + 2 * rules[0])
+
+
 def _fold_of_literals(text: str, pattern: re.Pattern) -> float:
-    """How far the characters of the long string literals fold: grammar size by length, 1 for random ones; 0 without long ones."""
-    long = [x for p in _pieces(text) for x in pattern.findall(p) if len(x) >= 200 and x[0] in "\"'`"]
-    if not long:
-        return 0.0
-    chars = np.frombuffer("".join(long).encode("utf-32-le"), np.uint32)
-    _, codes = np.unique(chars, return_inverse=True)
-    total = 0.0
-    for a in range(0, len(codes), BATCH_TOKENS):
-        part = codes[a : a + BATCH_TOKENS]
-        symbols, rules, _ = grammar.repair(part, np.zeros(len(part), np.int64), 1)
-        total += float(symbols[0] + 2 * rules[0])
-    return total / len(codes)
+    """How far the characters of the long string literals fold: grammar size by that of random text of the same length and alphabet.
+
+    About 1 for random ones whatever their length and alphabet (random text folds too, the more the longer it is and the fewer characters it
+    has); 0 without long ones or where they have one character only. Literals are taken whole, some at once up to ``BATCH_TOKENS`` characters.
+    """
+    long = [x[1:-1] for p in _pieces(text, pattern) for x in p if len(x) >= 200 and x[0] in "\"'`"]
+    random = np.random.default_rng(0)
+    total = expected = 0.0
+    a = 0
+    while a < len(long):
+        b, n = a + 1, len(long[a])
+        while b < len(long) and n + len(long[b]) <= BATCH_TOKENS:
+            n += len(long[b])
+            b += 1
+        chars = np.frombuffer("".join(long[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        alphabet, codes = np.unique(chars, return_inverse=True)
+        if len(alphabet) > 1:
+            total += _grammar_size(codes)
+        expected += _grammar_size(random.integers(0, max(2, len(alphabet)), len(codes)))
+        a = b
+    return total / expected if expected else 0.0
 
 
 def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,8 +170,7 @@ def _features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             owners, parts, hashed, tokens, b = [], [], [], 0, a
             while b < len(texts) and tokens < BATCH_TOKENS:
                 pattern = _HASH if exts[b] == "py" else _C_LIKE
-                for p in _pieces(texts[b]):
-                    found = pattern.findall(p)
+                for found in _pieces(texts[b], pattern):
                     owners.append(b - a)
                     parts.append(found)
                     tokens += len(found)

@@ -110,6 +110,21 @@ def test_origins(spark):
     assert handwritten.not_handwritten(files(spark, [])).count() == 0
 
 
+def test_long_blobs(spark, monkeypatch):
+    """Random literals are data at every length and with every alphabet, and prose at none; also in a line longer than a piece."""
+    rng = random.Random(8)
+    blobs = [rng.randbytes(n).hex()[:n] for n in (320, 2000, 20_000)] + [base64.b64encode(rng.randbytes(n)).decode()[:n] for n in (320, 2000, 8000, 20_000, 1_200_000)] + ["".join(rng.choice("ACGT") for _ in range(5000))]
+    prose = [" ".join(sentence(rng) for _ in range(n)) for n in (8, 60, 600)]
+    rows = [("a/x", f"src/blob{i}.py", f"DATA = '{x}'\n") for i, x in enumerate([*blobs, *prose, "-" * 2000])]
+    got = {r.file_id: r.origin for r in handwritten.classify(files(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == ["data"] * len(blobs) + ["hand"] * (len(prose) + 1)
+    text = "a = 1\n" * 20 + f"b = '{blobs[3]}'\nc = 2\n"
+    whole = [x for p in handwritten._pieces(text, handwritten._HASH) for x in p]
+    monkeypatch.setattr(handwritten, "PIECE_CHARS", 100)
+    pieces = list(handwritten._pieces(text, handwritten._HASH))
+    assert len(pieces) > 2 and [x for p in pieces for x in p] == whole and f"'{blobs[3]}'" in whole
+
+
 # -- p4 --------------------------------------------------------------------------------
 
 
