@@ -3,8 +3,9 @@
 Two kinds of evidence are combined for every text.
 
 Lengths: per source and unit (characters, bytes) the distribution of lengths is fitted by maximum likelihood under right censoring, with one hazard
-per stretch of lengths (events over exposure, the estimate that maximises the censored likelihood). At a candidate limit, a length in which far
-more texts end than the hazard lets expect, the expected number against the found one gives the posterior that a text of that length was censored.
+per stretch of lengths (events over exposure, the estimate that maximises the censored likelihood). Every length is a candidate limit, whatever
+share of the texts is above it or at it: it is one where more texts end than the hazards below and above it and its neighbours let expect by
+chance, and the expected number against the found one gives the posterior that a text of that length was censored.
 
 Endings: the inner segments (sentences and lines) of all texts, which are complete since more text follows them, tell how segments that begin alike
 end: with which mark and after how many tokens. The last segment of a text is weighed against them and against a cut at a random place; a last word
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,10 +27,8 @@ from ..functions.columns import log_odds
 from ..session import Stages
 from .mixing import source_key
 
-# Parameters of the length model: stretch of lengths with one hazard, how far below a limit trimmed texts may end, and how far a limit must stand out.
-STRETCH, BELOW, STANDS_OUT, LEAST = 64, 4, 5.0, 8
-#: Share of texts above a limit that a source may have (other spellings of a limit, damaged rows).
-ABOVE = 0.01
+# Parameters of the length model: stretch of lengths with one hazard, how far below a limit trimmed texts may end, and how likely chance may make a limit.
+STRETCH, BELOW, CHANCE = 64, 4, 0.01
 #: Posterior of a text of unknown source at a limit that some source has.
 UNKNOWN = 0.6
 #: Prior of a loss on the way, and the weight of a mark of omission at a limit.
@@ -43,6 +43,71 @@ def _source(docs: DataFrame) -> Column:
     return F.coalesce(source_key("source"), F.lit(""))
 
 
+def _surest(x: np.ndarray, c: np.ndarray, e: np.ndarray) -> tuple[int, list[tuple[int, int, float]]] | None:
+    """(found, rows of at, limit, posterior) of the surest limit, from the lengths x in order, the number c of texts of each and the number e of
+    those that no limit found before has censored; None where chance explains them all."""
+    risk = c[::-1].cumsum()[::-1]  # texts at least this long
+    sums, more, ends = np.append((c * x)[::-1].cumsum()[::-1], 0), np.append(risk, 0), np.append(0, e.cumsum())
+
+    def stretch(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Events and exposure of the lengths from lo to below hi."""
+        a, b = np.maximum(1, lo), np.maximum(1, hi)
+        i, j = np.searchsorted(x, a), np.searchsorted(x, b)
+        return ends[j] - ends[i], np.maximum(1, sums[i] - (a - 1) * more[i] - sums[j] + (b - 1) * more[j])
+
+    def near(sign: int) -> np.ndarray:
+        """The most texts that end in one of the next lengths."""
+        most = np.zeros(len(x), np.int64)
+        for d in range(1, BELOW + 1):
+            k = np.minimum(np.searchsorted(x, x + sign * d), len(x) - 1)
+            most = np.maximum(most, np.where(x[k] == x + sign * d, e[k], 0))
+        return most
+
+    surely = lambda k: np.maximum(0.0, k - 2 * np.sqrt(k))  # noqa: E731 - a few texts above a limit tell no hazard
+    excess = lambda n, m: n * np.log(np.maximum(n, 1) / np.maximum(m, 1e-9)) - (n - m)  # noqa: E731 - log likelihood ratio of a Poisson number
+    events, exposure = stretch(x - BELOW - STRETCH, x - BELOW)
+    below = (events + 0.5) / exposure
+    events, exposure = stretch(x + 1, x + 1 + STRETCH)
+    hazard = np.maximum(below, surely(events) / exposure)
+    left, right = near(-1), near(1)
+    expected = np.maximum(hazard * risk, surely(right))
+    # against the neighbours, so that a hump of lengths is none, and against the hazards, among as many candidates as there are lengths
+    most = np.maximum(left, right)
+    beside = excess(e, (e + most) / 2) + excess(most, (e + most) / 2)
+    sure = np.where((e > most) & (e > expected) & (beside > -np.log(CHANCE)), excess(e, expected), 0.0)
+    i = int(sure.argmax())
+    if sure[i] <= np.log(len(x) / CHANCE):
+        return None
+    out, lim = [], int(x[i])
+    for k in np.flatnonzero((x <= lim) & (x >= lim - BELOW) & (e > 0)):
+        # those of the limit itself are censored, so the exposure below it is the uncensored model's
+        usual = expected[i] if k == i else hazard[i] * risk[k]
+        out.append((int(x[k]), lim, max(0.0, 1 - float(usual) / int(e[k]))))
+    return int(e[i]), out
+
+
+def _limits(h: pd.DataFrame) -> list[tuple[str, int, int, float]]:
+    """(unit, at, limit, posterior) from chars, bytes and their number n of texts.
+
+    Limits are taken one by one in the unit in which more texts end at them; those texts are censored in both units from then on, so neither
+    unit shows the other's limits again.
+    """
+    n, free, out = h["n"].to_numpy(np.int64), np.ones(len(h), bool), []
+    lengths = {u: h[u].to_numpy(np.int64) for u in ("chars", "bytes")}
+    grid = {u: np.unique(v, return_inverse=True) for u, v in lengths.items()}
+    total = {u: np.bincount(at, n).astype(np.int64) for u, (_, at) in grid.items()}
+    while True:
+        got = {u: _surest(x, total[u], np.bincount(at, n * free).astype(np.int64)) for u, (x, at) in grid.items()}
+        found = {u: g for u, g in got.items() if g}
+        if not found:
+            return out
+        unit = max(found, key=lambda u: found[u][0])
+        rows = found[unit][1]
+        out += [(unit, *r) for r in rows]
+        lim = rows[0][1]
+        free &= (lengths[unit] > lim) | (lengths[unit] < lim - BELOW)
+
+
 def length_limits(docs: DataFrame) -> DataFrame:
     """source, unit, at, limit, posterior: lengths at which texts of a source were censored, and how surely.
 
@@ -52,41 +117,12 @@ def length_limits(docs: DataFrame) -> DataFrame:
     base = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select(_source(docs).alias("source"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.col("text").alias("_t"))
     # a text that was delivered many times is one text
     base = base.withColumn("h", F.xxhash64("_t")).drop("_t").distinct()
-    hist = base.select("source", F.explode(F.map_from_arrays(F.array(F.lit("chars"), F.lit("bytes")), F.array("chars", "bytes"))).alias("unit", "x")).groupBy("source", "unit", "x").agg(F.count(F.lit(1)).alias("n"))
+    hist = base.groupBy("source", "chars", "bytes").agg(F.count(F.lit(1)).alias("n"))
 
     def fit(h: pd.DataFrame) -> pd.DataFrame:
-        n = h.groupby("x")["n"].sum().sort_index()
-        total = int(n.sum())
-        x, c = n.index.to_numpy(), n.to_numpy()
-        out = []
-        risk = c[::-1].cumsum()[::-1]  # texts at least this long
-        for i in range(len(x)):
-            if c[i] < LEAST or risk[i] - c[i] > max(2, ABOVE * total) or x[i] < 16:
-                continue
-            lim = int(x[i])
-            # events over exposure in the stretch just below, where nothing is censored by this limit yet
-            lo, hi = lim - BELOW - STRETCH, lim - BELOW
-            m = (x >= lo) & (x < hi)
-            events = int(c[m].sum())
-            exposure = sum(int(c[x >= v].sum()) for v in range(max(1, lo), hi))
-            hazard = (events + 0.5) / max(1, exposure)
-            if c[i] < STANDS_OUT * max(1.0, hazard * int(risk[i])) or c[i] < 0.004 * total:
-                continue
-            for d in range(BELOW + 1):
-                found = int(c[x == lim - d].sum())
-                at_risk = int(c[x >= lim - d].sum())
-                if found:
-                    # those of the limit itself are censored, so the exposure below it is the uncensored model's
-                    out.append((lim - d, lim, max(0.0, 1 - hazard * at_risk / found), int(c[i])))
-        return pd.DataFrame(out, columns=["at", "limit", "posterior", "found"])
-
-    def both(h: pd.DataFrame) -> pd.DataFrame:
-        """The limits of a source in the unit in which more texts end at them."""
-        got = pd.concat([fit(g).assign(unit=u) for u, g in h.groupby("unit")])
-        best = got.sort_values(["found", "unit"], ascending=[False, False]).drop_duplicates("limit")[["limit", "unit"]] if len(got) else got[["limit", "unit"]]
-        return got.merge(best, on=["limit", "unit"]).assign(source=h["source"].iloc[0])[["source", "unit", "at", "limit", "posterior"]]
-
-    return hist.groupBy("source").applyInPandas(both, "source string, unit string, at long, limit long, posterior double")
+        return pd.DataFrame(_limits(h), columns=["unit", "at", "limit", "posterior"]).assign(source=h["source"].iloc[0])[["source", "unit", "at", "limit", "posterior"]]
+
+    return hist.groupBy("source").applyInPandas(fit, "source string, unit string, at long, limit long, posterior double")
 
 
 def _skeleton(c: Column) -> Column:

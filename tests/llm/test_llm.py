@@ -273,6 +273,23 @@ def test_truncation(spark):
     assert truncation.truncated(df.limit(0)).count() == 0
 
 
+def test_limits_of_any_share(spark):
+    """A limit may have few of a source's texts at it and many above it; neither a hump nor a start of the lengths is one."""
+    rng = random.Random(9)
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: "".join(rng.choice(abc) for _ in range(n))
+    wide = [("wide", text(rng.randint(20, 1000))) for _ in range(8000)]
+    few = wide + [("wide", text(300)) for _ in range(25)] + [("wide", text(700)) for _ in range(400)]  # 0.3 % and 5 %; nearly 70 % and 30 % above
+    hump = [("hump", text(max(1, round(rng.gauss(22, 2))))) for _ in range(3000)] + [("hump", text(rng.randint(1, 400))) for _ in range(3000)]
+    start = [("start", text(rng.randint(200, 300))) for _ in range(3000)]
+    small = [("small", text(rng.randint(1, 5000))) for _ in range(60)] + [("small", text(900)) for _ in range(7)]
+    chars = [("units", text(rng.randint(20, 600))) for _ in range(2000)] + [("units", text(399 - i % 3) + "é" * (1 + i % 3)) for i in range(400)] + [("units", text(rng.randint(401, 700))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, s, len(t), 0.0) for i, (s, t) in enumerate(few + hump + start + small + chars)], DOCS)
+    got = {(r.source, r.unit, r.limit): r.posterior for r in truncation.length_limits(df).filter("at = limit").collect()}
+    assert set(got) == {("wide", "chars", 300), ("wide", "chars", 700), ("small", "chars", 900), ("units", "chars", 400)}
+    assert got[("wide", "chars", 700)] > 0.9 and got[("wide", "chars", 300)] > 0.5
+
+
 def test_open_code(spark):
     good = "Some words about it.\n\n```python\nx = f(1)\n```\n\nThat is all there is."
     rows = [(i, good, "n", 0, 0.0) for i in range(60)] + [(100, "Some words about it.\n\n```python\nx = f(1", "n", 0, 0.0), (101, "import os\n\n\ndef f(a):\n    return os.path(a, [1, 2", "n", 0, 0.0)]
