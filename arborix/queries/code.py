@@ -163,8 +163,8 @@ def callers_depth1(spark, d):
 
 
 def callers_depth3(spark, d):
-    nodes, edges, _ = _graph(spark, d)
-    return graph.callers(nodes.filter("name = 'template'").select(F.col("id").alias("seed")), edges, 3).select("seed", "caller", "depth")
+    edges = Stages(spark, "c3").put(graph.clean_edges(read(spark, d, "edges")))
+    return graph.callers(_seeds(spark, d), edges, 3).select("seed", "caller", "depth")
 
 
 def references_of(spark, d):

@@ -1,7 +1,7 @@
 """Every registered query of the core runs on whole tables and gives the rows of its SQL."""
 
 import pytest
-from oracle import compare, duck
+from oracle import compare, duck, rows_of
 
 from arborix import queries
 
@@ -21,6 +21,18 @@ def test_query(spark, sf, con, name):
         assert not why
 
 
+def test_callers_depth3_of_all_seeds(spark, sf, con):
+    """The walk starts from every searched function, not from those of one name."""
+    df = queries.all_queries()["callers_depth3"](spark, sf)
+    want = con.sql("""WITH RECURSIVE pairs AS (SELECT DISTINCT caller, callee FROM edges WHERE caller IS NOT NULL AND callee IS NOT NULL),
+      b AS (SELECT DISTINCT seed, seed AS v, 0 AS depth FROM context_entries WHERE seed IS NOT NULL
+        UNION SELECT b.seed, p.caller, b.depth + 1 FROM b JOIN pairs p ON p.callee = b.v WHERE b.depth < 3)
+      SELECT seed, v AS caller, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY 1, 2 HAVING v <> seed""")
+    rows = [tuple(r) for r in df.collect()]
+    assert rows_of(df.columns, rows) == rows_of(want.columns, want.fetchall())
+    assert {r[2] for r in rows} == {1, 2, 3}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
