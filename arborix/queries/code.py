@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths as P
 from ..functions import text as T
 from ..operators import blocks, enrich, evalmatrix, graph, intervals, resolve, search
+from ..operators.skew import salted_join
 from ..session import Stages, read
 from ..sources.scan import lines
 
@@ -215,14 +216,43 @@ def dense_ids(spark, d):
     return graph.number_rows(keyed, ["o", "repo", "file", "line", "id"], "dense").select("id", "dense")
 
 
+def _by_language(df, order):
+    """k: dense numbers over the rows of all languages ``o`` in turn; local: over those of each language alone."""
+    rows = graph.number_rows(df, ["o", *order], "k")
+    first = rows.groupBy("o").agg(F.min("k").alias("_first"))  # one row per language
+    return rows.join(F.broadcast(first), "o").withColumn("local", F.col("k") - F.col("_first")).drop("_first")
+
+
 def merge_graphs(spark, d):
-    n = read(spark, d, "shared_nodes").select("id", "name", "qualified_name", "language", "file", "is_test", "line", "end_line")
+    """Nodes, edges and references (``part``) of the graph merged from those of the languages, with all ids moved.
+
+    Within its language each graph has ids of its own. Edges and references between two languages belong to no graph; they follow those of the
+    graphs with the ids that their ends have in the merged one. Ends that no table lists have no id, so their rows are left out.
+    """
+    nodes, edges, refs = _graph(spark, d)
+    st = Stages(spark, "mg")
+    n = st.put(_by_language(nodes.withColumn("o", P.language_ordinal("language")), ["id"]))
+    split = {}
+    for name, rows, key, ends in (("edge", edges, "edge_id", ("caller", "callee")), ("reference", refs, "ref_id", ("referencer", "target"))):
+        for end in ends:
+            side = n.select(F.col("id").alias(f"{end}_id"), F.col("o").alias(f"{end}_o"), F.col("k").alias(f"{end}_k"), F.col("local").alias(f"{end}_local"))
+            rows = st.put(salted_join(rows, side, end, f"{end}_id", F.col(key), "inner").drop(f"{end}_id"))
+        inner = F.col(f"{ends[0]}_o") == F.col(f"{ends[1]}_o")
+        order = [c for c in (key, *ends, "kind", "context") if c in rows.columns]
+        within = st.put(_by_language(rows.filter(inner).withColumn("o", F.col(f"{ends[0]}_o")), order).withColumns({key: F.col("local"), **{e: F.col(f"{e}_local") for e in ends}}))
+        between = graph.number_rows(rows.filter(~inner), order, "k").withColumns({key: F.col("k") + within.count(), **{e: F.col(f"{e}_k") for e in ends}})
+        split[name] = within, between
+    cols = {"edge": ["edge_id", "caller", "callee", "conditions"], "reference": ["ref_id", "referencer", "target", "kind", "context"]}
     parts = []
-    for lang in ("rust", "python"):
-        part = n.filter(F.col("language") == lang)
-        ids = graph.number_rows(part, ["id"], "k").select(*[c for c in part.columns if c != "id"], F.col("k").alias("id"))
-        parts.append((ids, spark.createDataFrame([], graph.EDGES), spark.createDataFrame([], graph.REFERENCES)))
-    return graph.merge_graphs(spark, parts)[0].select("id", "name", "language")
+    for o in range(len(P.LANGUAGES) + 1):  # the last are of no known language
+        own = n.filter(F.col("o") == o).select(F.col("local").alias("id"), "name", "qualified_name", "language", "file", "is_test", "line", "end_line")
+        parts.append((own, *[split[x][0].filter(F.col("o") == o).select(*cols[x]) for x in cols]))
+    nodes, edges, refs = graph.merge_graphs(spark, parts)
+    edges, refs = edges.unionByName(split["edge"][1].select(*cols["edge"])), refs.unionByName(split["reference"][1].select(*cols["reference"]))
+    out = nodes.withColumn("part", F.lit("node"))
+    out = out.unionByName(edges.select(F.lit("edge").alias("part"), F.col("edge_id").alias("id"), "caller", "callee", F.array_join("conditions", " && ").alias("conditions")), True)
+    out = out.unionByName(refs.select(F.lit("reference").alias("part"), F.col("ref_id").alias("id"), "referencer", "target", "kind", "context"), True)
+    return out.select("part", "id", *[c for c in out.columns if c not in ("part", "id")])
 
 
 def block_merge(spark, d):

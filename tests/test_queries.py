@@ -33,6 +33,29 @@ def test_callers_depth3_of_all_seeds(spark, sf, con):
     assert {r[2] for r in rows} == {1, 2, 3}
 
 
+def test_merge_graphs_of_all_languages(spark, sf):
+    """Every node, and every edge and reference between two nodes, is in the merged graph under its moved ids."""
+    from arborix.functions.paths import LANGUAGES
+    from arborix.queries import code
+
+    nodes, edges, refs = [x.collect() for x in code._graph(spark, sf)]
+    place = {key: n for n, key, _ in LANGUAGES}
+    order = sorted(nodes, key=lambda r: (place.get(r.language, len(place)), r.id))
+    new = {r.id: i for i, r in enumerate(order)}
+    got = {}
+    for r in queries.all_queries()["merge_graphs"](spark, sf).collect():
+        got.setdefault(r.part, []).append(r)
+    assert sorted((r.id, r.name, r.language, r.file, r.line) for r in got["node"]) == [(i, r.name, r.language, r.file, r.line) for i, r in enumerate(order)]
+    assert len({r.language for r in got["node"]}) == 7
+    key = lambda t: tuple(str(x) for x in t)
+    want = [(new[r.caller], new[r.callee], " && ".join(r.conditions)) for r in edges if r.caller in new and r.callee in new]
+    assert sorted(((r.caller, r.callee, r.conditions) for r in got["edge"]), key=key) == sorted(want, key=key)
+    want = [(new[r.referencer], new[r.target], r.kind, r.context) for r in refs if r.referencer in new and r.target in new]
+    assert sorted(((r.referencer, r.target, r.kind, r.context) for r in got["reference"]), key=key) == sorted(want, key=key)
+    for part in got.values():
+        assert sorted(r.id for r in part) == list(range(len(part)))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
