@@ -356,7 +356,7 @@ def run_states(spark, d):
 
 def text_rules(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", T.slugify(t).alias("slug"), T.truncate_text(t, 80).alias("short"), T.kind_hint(t).alias("kind"), T.prompt_title(F.substring(t, 1, 60)).alias("title"))
+    return read(spark, d, "documents").select("doc_id", T.slugify(t).alias("slug"), T.truncate_text(t, 80).alias("short"), T.kind_hint(t).alias("kind"), T.prompt_title(t).alias("title"))
 
 
 def extract_functions(spark, d):

@@ -1,5 +1,7 @@
 """Every registered query of the core runs on whole tables and gives the rows of its SQL."""
 
+import re
+
 import pytest
 from oracle import compare, duck, rows_of
 
@@ -56,6 +58,14 @@ def test_merge_graphs_of_all_languages(spark, sf):
         assert sorted(r.id for r in part) == list(range(len(part)))
 
 
+def test_titles_of_whole_texts(spark, sf):
+    """A title has all of its text, not the first characters only."""
+    title = {r.doc_id: r.title for r in queries.all_queries()["text_rules"](spark, sf).collect()}
+    docs = [r for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.text is not None and r.text.isascii()]
+    assert any(len(r.text) > 60 for r in docs)
+    assert [title[r.doc_id] for r in docs] == [re.sub(r"\s+", " ", r.text.replace("`", "")).strip() for r in docs]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
