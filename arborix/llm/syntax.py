@@ -61,8 +61,8 @@ def check(files: DataFrame) -> DataFrame:
 
 
 def invalid(files: DataFrame) -> DataFrame:
-    """file_id, n_faults, first_line, first_fault of the files that do not parse."""
-    return check(files).filter(F.size("faults") > 0).select("file_id", F.size("faults").cast("long").alias("n_faults"), F.get("faults", F.lit(0))["line"].alias("first_line"), F.get("faults", F.lit(0))["message"].alias("first_fault"))
+    """file_id, n_faults, first_line, first_fault, faults (all, with line and message, in the order of the text) of the files that do not parse."""
+    return check(files).filter(F.size("faults") > 0).select("file_id", F.size("faults").cast("long").alias("n_faults"), F.get("faults", F.lit(0))["line"].alias("first_line"), F.get("faults", F.lit(0))["message"].alias("first_fault"), "faults")
 
 
 def rates(files: DataFrame) -> DataFrame:

@@ -128,6 +128,13 @@ def test_long_blobs(spark, monkeypatch):
 # -- p4 --------------------------------------------------------------------------------
 
 
+def test_all_faults_are_given(spark):
+    rows = [("r", "c.js", "a = ;\nfunction f() {\n  b = ;\n}\n"), ("r", "b.py", "x = 1\n")]
+    got = syntax.invalid(files(spark, rows)).collect()
+    assert [(r.file_id, [x.line for x in r.faults]) for r in got] == [(0, [1, 3])]
+    assert got[0].n_faults == 2 and got[0].faults[0].message == got[0].first_fault
+
+
 def test_faults(spark):
     rows = [("r", "a.py", "def f():\n    return (1\n"), ("r", "b.py", "x = 1\n"), ("r", "c.js", "a = ;\nfunction f() {\n  b = ;\n}\n"), ("r", "d.md", "(("), ("r", "e.rs", None), (None, "f.ts", ""), ("r", "g.svelte", "{#if a}"), ("s", "h.py", "<<<<<<< HEAD\n"), ("s", None, "((")]
     df = files(spark, rows)
