@@ -7,8 +7,19 @@ tree of the rest.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
+#: Python frames that a parse may stack up. Calls between Python functions live on the heap, so nesting is bounded by memory and not by a rule of
+#: ours: this is some 100 000 levels of brackets, statements or operators within each other.
+FRAMES = 1_500_000
+
+
+def allow_depth() -> None:
+    """Let this process follow nesting to any depth that a file may have."""
+    if sys.getrecursionlimit() < FRAMES:
+        sys.setrecursionlimit(FRAMES)
+
 
 class Fault(Exception):
     """A syntax error at a character offset."""

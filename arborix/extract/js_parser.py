@@ -30,7 +30,6 @@ class JsParser:
         self.no_in = False
         self.no_arrow: set[int] = set()
         self.labels: list[str] = []
-        self.depth = 0
 
     # -- tokens -------------------------------------------------------------
 
@@ -123,19 +122,21 @@ class JsParser:
             if K[self.i] == "eof":
                 self.fail("expected '}' before the end")
             before = self.i
-            state = (self.fn, self.is_async, self.gen, self.loop, self.switch, len(self.labels), self.depth, self.no_in)
+            state = (self.fn, self.is_async, self.gen, self.loop, self.switch, len(self.labels), self.no_in)
             try:
                 s = self.statement(top=end == "eof")
                 if s is not None:
                     kids.append(s)
             except Fault as e:
                 self.faults.append((e.at, e.what))
-                self.fn, self.is_async, self.gen, self.loop, self.switch, n, self.depth, self.no_in = state
+                self.fn, self.is_async, self.gen, self.loop, self.switch, n, self.no_in = state
                 del self.labels[n:]
                 self.recover(before, end)
             except RecursionError:
+                if end != "eof":
+                    raise
                 self.faults.append((self.S[before], "nested too deeply"))
-                self.fn, self.is_async, self.gen, self.loop, self.switch, n, self.depth, self.no_in = state
+                self.fn, self.is_async, self.gen, self.loop, self.switch, n, self.no_in = state
                 self.recover(before, end)
 
     def recover(self, before, end):
@@ -198,44 +199,38 @@ class JsParser:
     def statement2(self, top=False, inline=False):
         K, i, a = self.K, self.i, self.S[self.i]
         k = K[i]
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
-        try:
-            h = getattr(self, "s_" + k, None) if k.isalpha() and k != "name" else None
-            if h is not None:
-                return h(a, top)
-            if k == "{":
-                return self.block()
-            if k == ";":
+        h = getattr(self, "s_" + k, None) if k.isalpha() and k != "name" else None
+        if h is not None:
+            return h(a, top)
+        if k == "{":
+            return self.block()
+        if k == ";":
+            self.i += 1
+            return None
+        if k == "@":
+            self.decorators()
+            return self.statement2(top)
+        if k == "name":
+            w = self.text()
+            if w == "async" and K[i + 1] == "function" and not self.N[i + 1]:
                 self.i += 1
-                return None
-            if k == "@":
-                self.decorators()
-                return self.statement2(top)
-            if k == "name":
-                w = self.text()
-                if w == "async" and K[i + 1] == "function" and not self.N[i + 1]:
-                    self.i += 1
-                    return self.function(a, True, is_async=True)
-                if w == "let" and (K[i + 1] in ("name", "[", "{")) and not (inline and self.N[i + 1]):
-                    return self.var(a)
-                if w == "using" and K[i + 1] == "name" and not self.N[i + 1] and K[i + 2] == "=":
-                    return self.var(a)
-                if self.typed and (s := self.ts_statement(a, w, top)) is not None:
-                    return s
-                if K[i + 1] == ":":
-                    self.ident()
-                    self.i += 1
-                    self.labels.append(w)
-                    body = self.statement(inline=True)
-                    self.labels.pop()
-                    return self.node("label", a, [body] if body else [])
-            e = self.expression()
-            self.semicolon()
-            return self.node("expr", a, [e])
-        finally:
-            self.depth -= 1
+                return self.function(a, True, is_async=True)
+            if w == "let" and (K[i + 1] in ("name", "[", "{")) and not (inline and self.N[i + 1]):
+                return self.var(a)
+            if w == "using" and K[i + 1] == "name" and not self.N[i + 1] and K[i + 2] == "=":
+                return self.var(a)
+            if self.typed and (s := self.ts_statement(a, w, top)) is not None:
+                return s
+            if K[i + 1] == ":":
+                self.ident()
+                self.i += 1
+                self.labels.append(w)
+                body = self.statement(inline=True)
+                self.labels.pop()
+                return self.node("label", a, [body] if body else [])
+        e = self.expression()
+        self.semicolon()
+        return self.node("expr", a, [e])
 
     def block(self):
         a = self.S[self.i]
@@ -783,14 +778,14 @@ class JsParser:
             if self.K[self.i] == "eof":
                 self.fail("expected '}' before the end")
             before = self.i
-            state = (self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.depth)
+            state = (self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels)
             try:
                 m = self.member()
                 if m is not None:
                     kids.append(m)
             except Fault as e:
                 self.faults.append((e.at, e.what))
-                self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.depth = state
+                self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels = state
                 self.recover(before, "}")
         return self.node("class", a, kids, name.v if name else None)
 
@@ -886,46 +881,40 @@ class JsParser:
     def assign(self):
         K, i = self.K, self.i
         k, a = K[i], self.S[i]
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
-        try:
-            if k == "name":
-                w = self.src[a : self.E[i]]
-                if w == "async" and not self.N[i + 1]:
-                    if K[i + 1] == "name" and K[i + 2] == "=>":
-                        self.i += 1
-                        return self.arrow(a, True)
-                    if K[i + 1] == "(" or (self.typed and K[i + 1] == "<"):
-                        r = self.try_arrow(a, i + 1, True)
-                        if r is not None:
-                            return r
-                elif w == "yield" and self.gen:
+        if k == "name":
+            w = self.src[a : self.E[i]]
+            if w == "async" and not self.N[i + 1]:
+                if K[i + 1] == "name" and K[i + 2] == "=>":
                     self.i += 1
-                    if self.eat("*"):
-                        return self.node("yield", a, [self.assign()])
-                    if self.N[self.i] or K[self.i] in (")", "]", "}", ",", ";", "eof", ":", "tmid", "ttail"):
-                        return self.node("yield", a)
+                    return self.arrow(a, True)
+                if K[i + 1] == "(" or (self.typed and K[i + 1] == "<"):
+                    r = self.try_arrow(a, i + 1, True)
+                    if r is not None:
+                        return r
+            elif w == "yield" and self.gen:
+                self.i += 1
+                if self.eat("*"):
                     return self.node("yield", a, [self.assign()])
-                if K[i + 1] == "=>":
-                    return self.arrow(a, False)
-            elif k == "(" or (k == "<" and self.typed):
-                r = self.try_arrow(a, i, False)
-                if r is not None:
-                    return r
-            left = self.conditional()
-            k = K[self.i]
-            if k in ASSIGN or k == ">":
-                op, n = (k, 1) if k != ">" else self.gt_run()
-                if op not in ASSIGN or op == ">=":
-                    return left
-                self.target(left, op == "=")
-                self.i += n
-                right = self.assign()
-                return self.node("assign", a, [left, right], op, {"left": left, "right": right})
-            return left
-        finally:
-            self.depth -= 1
+                if self.N[self.i] or K[self.i] in (")", "]", "}", ",", ";", "eof", ":", "tmid", "ttail"):
+                    return self.node("yield", a)
+                return self.node("yield", a, [self.assign()])
+            if K[i + 1] == "=>":
+                return self.arrow(a, False)
+        elif k == "(" or (k == "<" and self.typed):
+            r = self.try_arrow(a, i, False)
+            if r is not None:
+                return r
+        left = self.conditional()
+        k = K[self.i]
+        if k in ASSIGN or k == ">":
+            op, n = (k, 1) if k != ">" else self.gt_run()
+            if op not in ASSIGN or op == ">=":
+                return left
+            self.target(left, op == "=")
+            self.i += n
+            right = self.assign()
+            return self.node("assign", a, [left, right], op, {"left": left, "right": right})
+        return left
 
     def target(self, n, patterns=True):
         if n.t in ("id", "member", "index", "nonnull"):
@@ -976,14 +965,14 @@ class JsParser:
                 return self.arrow(a, is_async)
             if nxt != ":" or not self.typed:
                 return None
-        save, faults, st = self.i, len(self.faults), (self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.depth, self.no_in)
+        save, faults, st = self.i, len(self.faults), (self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.no_in)
         try:
             self.i = i
             return self.arrow(a, is_async)
         except Fault:
             self.i = save
             del self.faults[faults:]
-            self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.depth, self.no_in = st
+            self.fn, self.is_async, self.gen, self.loop, self.switch, self.labels, self.no_in = st
             self.no_arrow.add(i)
             return None
 
@@ -1317,9 +1306,6 @@ class JsParser:
 
     def element(self):
         K, a = self.K, self.S[self.i]
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
         self.need("jsx<")
         name = ""
         kids = []
@@ -1350,7 +1336,6 @@ class JsParser:
                     else:
                         self.fail("expected a value")
             if self.eat("jsx/>"):
-                self.depth -= 1
                 return self.node("element", a, kids, name)
         self.need("jsx>")
         while K[self.i] != "jsx</":
@@ -1376,7 +1361,6 @@ class JsParser:
         if close != name:
             self.fail(f"expected </{name}>", self.i - 1)
         self.need("jsx>")
-        self.depth -= 1
         return self.node("element", a, kids, name)
 
     # -- types ----------------------------------------------------------------------
@@ -1489,35 +1473,29 @@ class JsParser:
 
     def type(self, ret=False, arrow=False):
         """A type; ``ret`` also allows a type predicate."""
-        self.depth += 1
-        if self.depth > 400:
-            self.fail("nested too deeply")
-        try:
-            if ret and self.K[self.i] in ("name", "this"):
-                i = self.i
-                if self.word("asserts") and self.K[i + 1] in ("name", "this") and not self.N[i + 1] and not self.word("is", i + 1):
-                    self.i += 2
-                    if self.eat_word("is"):
-                        self.type()
-                    return
-                if self.word("is", i + 1) and not self.N[i + 1]:
-                    self.i += 2
+        if ret and self.K[self.i] in ("name", "this"):
+            i = self.i
+            if self.word("asserts") and self.K[i + 1] in ("name", "this") and not self.N[i + 1] and not self.word("is", i + 1):
+                self.i += 2
+                if self.eat_word("is"):
                     self.type()
-                    return
-            self.type_union()
-            if self.K[self.i] == "extends" and not self.N[self.i] and not self.in_extends:
-                self.i += 1
-                keep, self.in_extends = self.in_extends, True
-                self.type_union()
-                self.in_extends = keep
-                self.need("?")
-                keep, self.in_extends = self.in_extends, False
-                self.type()
-                self.need(":")
+                return
+            if self.word("is", i + 1) and not self.N[i + 1]:
+                self.i += 2
                 self.type()
-                self.in_extends = keep
-        finally:
-            self.depth -= 1
+                return
+        self.type_union()
+        if self.K[self.i] == "extends" and not self.N[self.i] and not self.in_extends:
+            self.i += 1
+            keep, self.in_extends = self.in_extends, True
+            self.type_union()
+            self.in_extends = keep
+            self.need("?")
+            keep, self.in_extends = self.in_extends, False
+            self.type()
+            self.need(":")
+            self.type()
+            self.in_extends = keep
 
     in_extends = False
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .base import Tokens
-from .py_lexer import _CODES, _NUM, _OPENER, _PUNCT, RESERVED, SOFT, _f_end
+from .py_lexer import _CODES, _NUM, _OPENER, _PUNCT, MAX_BRACKETS, MAX_INDENTS, RESERVED, SOFT, _f_end
 from .py_lexer import lex as lex_exact
 
 _NL = r"(?:\r\n|\n|\r)(?:[ \t\f]*(?:#[^\n\r]*)?(?:\r\n|\n|\r))*(?:[ \t\f]*(?:#[^\n\r]*)?\Z)?[ \t\f]*"
@@ -88,6 +88,8 @@ def lex_plain(src: str) -> tuple[Tokens, list] | None:
         if "\t" in ind or "\f" in ind:
             return False
         if len(ind) > len(top):
+            if len(levels) == MAX_INDENTS:
+                return False
             levels.append(ind)
             add("indent", at, at)
             return True
@@ -126,6 +128,8 @@ def lex_plain(src: str) -> tuple[Tokens, list] | None:
         key_add(k[1])
         if q in _BRACKETS:
             if q in "([{":
+                if len(stack) == MAX_BRACKETS:
+                    return None
                 stack.append((q, len(kind) - 1))
             elif stack and stack[-1][0] == _OPENER[q]:
                 pairs.append((stack.pop()[1], len(kind) - 1))

@@ -133,6 +133,10 @@ def _hole(src: str, pos: int, quote: str, raw: bool, holes: list, line_ok: bool)
     return -1
 
 
+# The language's own limits of open brackets and of levels of indentation, the outermost among them.
+MAX_BRACKETS, MAX_INDENTS = 200, 100
+
+
 def lex(src: str) -> tuple[Tokens, list]:
     """Tokens up to ``eof``, with ``newline``, ``indent`` and ``dedent``, and the replacement fields of f-strings as (start, end, fault)."""
     t = Tokens()
@@ -170,6 +174,8 @@ def lex(src: str) -> tuple[Tokens, list]:
             top = levels[-1]
             if ind != top:
                 if ind.startswith(top):
+                    if len(levels) == MAX_INDENTS:
+                        bad(e, e, "too many levels of indentation")
                     levels.append(ind)
                     add("indent", e, e)
                 elif ind.expandtabs(8) != ind or any("\t" in x for x in levels):
@@ -220,6 +226,10 @@ def lex(src: str) -> tuple[Tokens, list]:
             end_add(e)
             key_add(codes[p])
             if p in "([{":
+                if len(stack) == MAX_BRACKETS:
+                    t.bad.append((pos, "too many nested brackets"))
+                    kind[-1] = "bad"
+                    keys[-1] = codes["bad"]
                 stack.append((p, len(kind) - 1))
             elif p in ")]}":
                 i = len(kind) - 1

@@ -21,7 +21,7 @@ class PyParser:
         self.src = src
         self.t, self.holes = lex(src)
         self.K, self.S, self.E, self.M, self.key = self.t.kind, self.t.start, self.t.end, self.t.match, self.t.key
-        self.i, self.depth = 0, 0
+        self.i = 0
         self.faults: list[tuple[int, str]] = []
         self.memo = _memo if memo else None
         if memo:
@@ -104,18 +104,18 @@ class PyParser:
             if K[self.i] == "newline":
                 self.i += 1
                 continue
-            before, d = self.i, self.depth
+            before = self.i
             try:
                 s = self.statement()
                 if s is not None:
                     kids.append(s)
             except Fault as e:
                 self.faults.append((e.at, e.what))
-                self.depth = d
                 self.recover(before)
             except RecursionError:
+                if end != "eof":
+                    raise
                 self.faults.append((self.S[before], "nested too deeply"))
-                self.depth = d
                 self.recover(before)
 
     def recover(self, before):
@@ -763,25 +763,19 @@ class PyParser:
 
     def expr(self):
         a = self.S[self.i]
-        self.depth += 1
-        if self.depth > 300:
-            self.fail("nested too deeply")
-        try:
-            if self.K[self.i] == "lambda":
-                self.i += 1
-                kids = self.params(":", False)
-                self.need(":")
-                return self.node("lambda", a, kids + [self.expr()])
-            e = self.or_()
-            if self.K[self.i] == "if":
-                self.i += 1
-                c = self.or_()
-                if not self.eat("else"):
-                    self.fail("expected 'else'" if self.K[self.i] != "bad" else None)
-                return self.node("cond", a, [e, c, self.expr()])
-            return e
-        finally:
-            self.depth -= 1
+        if self.K[self.i] == "lambda":
+            self.i += 1
+            kids = self.params(":", False)
+            self.need(":")
+            return self.node("lambda", a, kids + [self.expr()])
+        e = self.or_()
+        if self.K[self.i] == "if":
+            self.i += 1
+            c = self.or_()
+            if not self.eat("else"):
+                self.fail("expected 'else'" if self.K[self.i] != "bad" else None)
+            return self.node("cond", a, [e, c, self.expr()])
+        return e
 
     def or_(self):
         a = self.S[self.i]
@@ -831,11 +825,7 @@ class PyParser:
         k, a = self.K[self.i], self.S[self.i]
         if k in ("-", "+", "~"):
             self.i += 1
-            self.depth += 1
-            if self.depth > 300:
-                self.fail("nested too deeply")
             e = self.node("unary", a, [self.unary()])
-            self.depth -= 1
             return e
         if k == "await":
             self.i += 1

@@ -18,7 +18,7 @@ class RsParser:
         self.src = src
         self.t = lex(src)
         self.K, self.S, self.E, self.M, self.key = self.t.kind, self.t.start, self.t.end, self.t.match, self.t.key
-        self.i = self.depth = 0
+        self.i = 0
         self.faults: list[tuple[int, str]] = []
         self.memo = _memo if memo else None
         self.no_struct = False
@@ -99,18 +99,20 @@ class RsParser:
         while K[self.i] != end:
             if K[self.i] == "eof":
                 self.fail("expected '}' before the end")
-            before, d = self.i, self.depth
+            before = self.i
             try:
                 s = (one or self.item)()
                 if s is not None:
                     kids.append(s)
             except Fault as e:
                 self.faults.append((e.at, e.what))
-                self.depth, self.no_struct = d, False
+                self.no_struct = False
                 self.recover(before, end)
             except RecursionError:
+                if end != "eof":
+                    raise
                 self.faults.append((self.S[before], "nested too deeply"))
-                self.depth, self.no_struct = d, False
+                self.no_struct = False
                 self.recover(before, end)
 
     def recover(self, before, end):
@@ -567,11 +569,7 @@ class RsParser:
         self.need("{")
         kids = []
         keep, self.no_struct = self.no_struct, False
-        self.depth += 1
-        if self.depth > 200:
-            self.fail("nested too deeply")
         self.items(kids, "}", self.statement)
-        self.depth -= 1
         self.no_struct = keep
         self.need("}")
         return self.node("block", a, kids)
@@ -647,11 +645,7 @@ class RsParser:
         keep = self.no_struct
         if no_struct is not None:
             self.no_struct = no_struct
-        self.depth += 1
-        if self.depth > 300:
-            self.fail("nested too deeply")
         e = self.assignment(stmt)
-        self.depth -= 1
         self.no_struct = keep
         return e
 
@@ -1203,9 +1197,6 @@ class RsParser:
     def type_no_bounds(self, plus=False):
         K = self.K
         k = K[self.i]
-        self.depth += 1
-        if self.depth > 300:
-            self.fail("nested too deeply")
         if k in ("&", "&&"):
             self.i += 1
             self.eat("life")
@@ -1269,7 +1260,6 @@ class RsParser:
                 self.bounds()
         else:
             self.fail("expected a type" if k not in ("bad", "eof") else None)
-        self.depth -= 1
 
 
 def parse(src: str, memo: bool = False) -> Parsed:

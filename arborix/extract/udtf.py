@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, language_for_path, normalize_path
+from .base import allow_depth
 from .visitors import extract
 
 _SITES = "call_sites array<struct<callee_name:string,conditions:array<string>>>, reference_sites array<struct<target_name:string,kind:string,context:string>>"
@@ -28,7 +28,7 @@ def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = Tr
         rows = rows.filter("not file_is_test")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sys.setrecursionlimit(20_000)
+        allow_depth()
         for f in frames:
             out = []
             for r in f.itertuples(index=False):
