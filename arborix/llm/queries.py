@@ -24,6 +24,14 @@ def p4_faults(spark: SparkSession, d: str) -> DataFrame:
     return syntax.invalid(read(spark, d, "source_files"))
 
 
+def p4_errors(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.errors(read(spark, d, "source_files"))
+
+
+def p4_languages(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.languages(read(spark, d, "source_files"))
+
+
 def p4_rates(spark: SparkSession, d: str) -> DataFrame:
     return syntax.rates(read(spark, d, "source_files"))
 
@@ -62,7 +70,7 @@ def p9_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.length_limits(read(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_found, p4_faults, p4_rates, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_rates, p9_limits)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_origins, p4_found, p4_faults, p4_errors, p4_rates, p4_languages, p5_found, p7_ids, p7_decoded, p8_mix, p8_shares, p9_found, p9_rates, p9_limits)}
 
 SQL = {
     "p5_found": """WITH one AS (

@@ -6,7 +6,6 @@ a fault, so that all faults of a file are found. The parsers are those that the
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,11 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..extract import js_parser, py_parser, rs_parser, svelte_parser
+from ..extract.base import allow_depth
 from ..functions.paths import extension, language_for_path
 
-#: Deep nesting ends in a fault of its own long before this.
-RECURSION = 20_000
-
 PARSERS = {
     "py": lambda t: py_parser.parse(t, memo=True),
     "js": lambda t: js_parser.parse(t, memo=True),
@@ -42,7 +39,7 @@ def faults_of(ext: str, content: str) -> list[tuple[int, str]]:
 
 
 def _check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sys.setrecursionlimit(RECURSION)
+    allow_depth()
     for f in frames:
         rows = []
         for ext, content in zip(f["_ext"], f["_content"]):
@@ -65,6 +62,17 @@ def invalid(files: DataFrame) -> DataFrame:
     return check(files).filter(F.size("faults") > 0).select("file_id", F.size("faults").cast("long").alias("n_faults"), F.get("faults", F.lit(0))["line"].alias("first_line"), F.get("faults", F.lit(0))["message"].alias("first_fault"), "faults")
 
 
+def errors(files: DataFrame) -> DataFrame:
+    """file_id, ord (from 1), line, message: one row for every fault of every file, in the order of the text; ord 1 is the first cause."""
+    return check(files).select("file_id", F.posexplode("faults").alias("at", "f")).select("file_id", (F.col("at") + 1).cast("long").alias("ord"), F.col("f.line").alias("line"), F.col("f.message").alias("message"))
+
+
+def languages(files: DataFrame) -> DataFrame:
+    """language, n_files, n_invalid, acceptance: the share of valid files of each language, over all repositories."""
+    total = rates(files).groupBy("language").agg(F.sum("n_files").alias("n_files"), F.sum("n_invalid").alias("n_invalid"))
+    return total.withColumn("acceptance", 1 - F.col("n_invalid") / F.col("n_files"))
+
+
 def rates(files: DataFrame) -> DataFrame:
     """repo, language (of the extension), n_files, n_invalid, acceptance: the share of valid files, per repository and language.
 
@@ -73,7 +81,7 @@ def rates(files: DataFrame) -> DataFrame:
     """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sys.setrecursionlimit(RECURSION)
+        allow_depth()
         for f in frames:
             bad = [bool(PARSERS[e](c).faults) for e, c in zip(f["_ext"], f["_content"])]
             yield pd.DataFrame({"repo": f["repo"], "language": f["language"], "bad": bad})

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..extract import js_parser, py_parser, rs_parser, svelte_parser
+from ..extract.base import allow_depth
 from ..functions.columns import log_odds
 from ..session import Stages
 from .mixing import source_key
@@ -148,9 +149,7 @@ _LANGUAGES = [py_parser.parse, lambda t: js_parser.parse(t, jsx=True), lambda t:
 
 def _broken_end(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """1 where the language that fits a text best fails only at its very end, -1 where a language accepts it, else 0."""
-    import sys
-
-    sys.setrecursionlimit(20_000)
+    allow_depth()
     for f in frames:
         out = []
         for text in f["t"]:

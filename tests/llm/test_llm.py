@@ -135,6 +135,33 @@ def test_all_faults_are_given(spark):
     assert got[0].n_faults == 2 and got[0].faults[0].message == got[0].first_fault
 
 
+DEEP = {
+    "js": ["if(a){}" + " else if(b){}" * 5000, "x=" + "a?b:" * 5000 + "c;", "x=" + "[" * 5000 + "]" * 5000, "x=" + "f(" * 5000 + ")" * 5000, "{" * 5000 + "}" * 5000],
+    "ts": ["x=" + "a?b:" * 5000 + "c;", "let x:" + "A<" * 5000 + "B" + ">" * 5000 + "=1"],
+    "tsx": ["x=" + "<a>" * 5000 + "</a>" * 5000],
+    "py": ["x=" + "lambda:" * 5000 + "1", "x=" + "a if b else " * 5000 + "c", "if a:\n  b\n" + "elif c:\n  d\n" * 5000, "x=" + "(" * 200 + ")" * 200],
+    "rs": ["fn f(){if a{}" + " else if b{}" * 5000 + "}", "fn f(x:" + "Vec<" * 5000 + "A" + ">" * 5000 + "){}", "fn f(){" + "{" * 5000 + "}" * 5000 + "}"],
+    "svelte": ["<a>" * 5000 + "</a>" * 5000, "{#if a}" + "{:else if b}" * 5000 + "{/if}"],
+}
+
+
+def test_nesting_is_no_fault(spark):
+    """Only the languages' own limits count: Python has 200 open brackets and 100 levels of indentation."""
+    good = [("r", f"f{i}.{e}", t) for e, texts in DEEP.items() for i, t in enumerate(texts)]
+    bad = [("r", "a.py", "x=" + "(" * 201 + ")" * 201), ("r", "b.py", "".join(" " * i + "if a:\n" for i in range(100)) + " " * 100 + "b\n"), ("r", "c.js", "x=" + "[" * 5000 + "]" * 4999)]
+    got = {r.file_id for r in syntax.invalid(files(spark, good + bad)).collect()}
+    assert got == {len(good) + i for i in range(len(bad))}
+
+
+def test_errors_and_languages(spark):
+    rows = [("r", "c.js", "a = ;\nfunction f() {\n  b = ;\n}\n"), ("r", "b.py", "x = 1\n"), ("s", "d.js", ""), (None, "e.js", None)]
+    df = files(spark, rows)
+    assert [(r.file_id, r.ord, r.line) for r in syntax.errors(df).orderBy("ord").collect()] == [(0, 1, 1), (0, 2, 3)]
+    got = {r.language: (r.n_files, r.n_invalid) for r in syntax.languages(df).collect()}
+    assert got == {"javascript": (3, 1), "python": (1, 0)}
+    assert syntax.errors(files(spark, [])).count() == 0 and syntax.languages(files(spark, [])).count() == 0
+
+
 def test_faults(spark):
     rows = [("r", "a.py", "def f():\n    return (1\n"), ("r", "b.py", "x = 1\n"), ("r", "c.js", "a = ;\nfunction f() {\n  b = ;\n}\n"), ("r", "d.md", "(("), ("r", "e.rs", None), (None, "f.ts", ""), ("r", "g.svelte", "{#if a}"), ("s", "h.py", "<<<<<<< HEAD\n"), ("s", None, "((")]
     df = files(spark, rows)
