@@ -63,16 +63,65 @@ def score_matrix(scores: DataFrame, keys: list[str], variant: str, measure: str,
     return scores.groupBy(*keys).pivot("cell", variants).agg(F.max(value)) if "cell" in scores.columns else scores.withColumn("cell", F.concat_ws("_", variant, measure)).groupBy(*keys).pivot("cell", variants).agg(F.max(value))
 
 
-def runs_per_agent(runs: DataFrame, task: str, agent: str) -> DataFrame:
-    """task, runs: the number of runs by agent as text, agents in order; null agents are left out."""
-    per = runs.filter(F.col(agent).isNotNull()).groupBy(task, agent).agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy(task).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(agent, "n"))), lambda x: F.concat_ws(" ", x[agent], x["n"].cast("string"))), ", ").alias("runs"))
+# The agents whose runs are counted, in the order in which they are shown, and the order of judges.
+AGENTS = ("codex", "claude")
+JUDGES = ("claude", "codex")
+
+
+def _place(name: Column, order: tuple[str, ...]) -> Column:
+    """The place of a name in a list, behind it for any other."""
+    at = F.array_position(F.array(*[F.lit(x) for x in order]), name)
+    return F.when(at > 0, at).otherwise(len(order) + 1)
+
+
+def runs_per_agent(tasks: DataFrame, runs: DataFrame, task: str, agent: str, agents: tuple[str, ...] = AGENTS) -> DataFrame:
+    """task, runs: how many runs each of ``agents`` has, as ``agent:n, agent:n`` in their order.
+
+    ``tasks`` has one row per task and ``prepared``: a task without such runs shows ``prepared`` if it is and ``-`` if not (or null). Runs of
+    other agents, null ones among them, and of unknown tasks are left out.
+    """
+    per = runs.filter(F.col(agent).isin(*agents)).groupBy(task, agent).agg(F.count(F.lit(1)).alias("n"))
+    # at most one entry per agent meets in a list
+    parts = per.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(_place(F.col(agent), agents).alias("at"), F.concat_ws(":", agent, F.col("n").cast("string")).alias("t")))).alias("p"))
+    shown = F.array_join(F.transform("p", lambda x: x["t"]), ", ")
+    return tasks.join(parts, task, "left").select(task, F.coalesce(shown, F.when(F.coalesce("prepared", F.lit(False)), "prepared").otherwise("-")).alias("runs"))
+
+
+def judge_order(judgments: DataFrame, keys: list[str], judge: str) -> DataFrame:
+    """``judgments`` with ``rank`` from 1 within ``keys``: the preferred judges first, then the others by name."""
+    return judgments.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(_place(F.col(judge), JUDGES), judge)).cast("long"))
+
+
+def manifest_labels(manifests: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, label, variant of blind manifests: from label_to_variant, or label_to_condition where a manifest is of the older form."""
+    return manifests.select(*keys, F.explode(F.coalesce("label_to_variant", "label_to_condition")).alias("label", "variant"))
+
+
+def matrix_rows(runs: DataFrame, judgments: DataFrame, labels: DataFrame, task: str = "task_id") -> DataFrame:
+    """One row per task, agent and judge of each task's latest run: eval_id, variant_count, best_matches_pr, best_overall, best_variant, confidence,
+    variants ARRAY<STRUCT<variant, the four measures>>, and ``skipped``, why a task has no row of scores (``no run`` or ``not judged``).
+
+    ``runs``: task, agent, eval_id (null for a task without a run). ``judgments``: eval_id, judge, best_matches_pr, best_overall, best,
+    confidence, scores MAP<label, STRUCT<measures>>. ``labels``: eval_id, label, variant. What is no label stays as it is.
+    """
+    last = runs.groupBy(task).agg(F.max_by(F.struct("agent", "eval_id"), "eval_id").alias("r")).select(task, "r.*")
+    names = labels.groupBy("eval_id").agg(F.map_from_entries(F.collect_list(F.struct("label", "variant"))).alias("names"))
+    rows = last.join(judgments, "eval_id", "left").join(names, "eval_id", "left")
+    reveal_ = lambda c: F.coalesce(F.col("names")[F.col(c)], F.col(c)).alias(c)
+    each = F.transform(F.array_sort(F.map_entries("names")), lambda e: F.struct(e["value"].alias("variant"), *[F.col("scores")[e["key"]][m].alias(m) for m in MEASURES]))
+    skipped = F.when(F.col("eval_id").isNull(), "no run").when(F.col("judge").isNull(), "not judged")
+    return rows.select(task, "agent", "judge", "eval_id", F.size("names").cast("long").alias("variant_count"), reveal_("best_matches_pr"), reveal_("best_overall"), reveal_("best").alias("best_variant"), "confidence", F.array_sort(each).alias("variants"), skipped.alias("skipped"))
 
 
 # The scores a judgment has, each from 1 to 5.
 MEASURES = ["pr_alignment", "reuse_alignment", "duplication_risk", "test_alignment"]
 
 
+def missing_fields(present: Column, required: tuple[str, ...]) -> Column:
+    """The required fields that an array of names lacks, in their order."""
+    return F.array_except(F.array(*[F.lit(x) for x in required]), F.coalesce(present, F.array().cast("array<string>")))
+
+
 def judgment_faults(scores: DataFrame, key: str, measure: str, value: str) -> DataFrame:
     """key, fault of judgments that lack a measure or have a score outside 1 to 5."""
     have = scores.groupBy(key).agg(F.collect_set(measure).alias("m"))

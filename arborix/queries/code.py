@@ -13,6 +13,7 @@ from ..session import Stages, read
 from ..sources.scan import lines
 
 #: What the search queries look for.
+RUN_MODES = ("incremental", "full_rebuild", "reused")
 LITERAL, REGEX, WORD = "return None", r"(fn|def|function)\s+\w*[Bb]udget\w*", "limit"
 
 
@@ -272,10 +273,13 @@ def content_hash(spark, d):
 
 
 def fingerprint(spark, d):
-    """Of every folder of every repository: SHA-256 over path, hash in path order."""
-    s = read(spark, d, "source_files").select("repo", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), "path", F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("|"), x["hash"], F.lit("|"))), "")
-    return s.groupBy("repo", "folder").agg(F.sha2(body, 256).alias("fingerprint"), F.count(F.lit(1)).alias("n_files"))
+    """Of every language of every repository SHA-256 over path, NUL, hash, NUL in path order, and of every repository over its languages' (language null)."""
+    from ..operators.incremental import combined_fingerprints, fingerprints
+
+    s = read(spark, d, "source_files").select("repo", P.language_for_path("path").alias("language"), P.normalize_path("path").alias("path"), F.sha2(F.coalesce("content", F.lit("")), 256).alias("hash")).filter("language is not null")
+    each = Stages(spark, "fp").put(fingerprints(s, ["repo", "language"]))
+    whole = combined_fingerprints(each, ["repo"]).join(each.groupBy("repo").agg(F.sum("n_files").alias("n_files")), "repo").withColumn("language", F.lit(None).cast("string"))
+    return each.unionByName(whole)
 
 
 def change_set(spark, d):
@@ -285,14 +289,17 @@ def change_set(spark, d):
 
 
 def incremental_merge(spark, d):
-    """Current files without what the last state had dropped or lacks, and those it replaces."""
-    from ..operators.incremental import current_state, stored_state
+    """What an incremental rebuild makes of every path: ``kept`` with the stored hash, ``replaced`` by another one, ``new``, or ``dropped``."""
+    from ..operators.incremental import changes, current_state, stored_state
 
-    state = stored_state(read(spark, d, "load_runs"), read(spark, d, "cache_files")).filter("hash is not null")
-    now = current_state(read(spark, d, "source_files"))
-    kept = state.join(now.select("repo", "path"), ["repo", "path"], "left_semi").select("repo", "path", F.lit("kept").alias("origin"))
-    fresh = now.join(state.select("repo", "path"), ["repo", "path"], "left_anti").select("repo", "path", F.lit("new").alias("origin"))
-    return kept.unionByName(fresh)
+    st = Stages(spark, "im")
+    state = st.put(stored_state(read(spark, d, "load_runs"), read(spark, d, "cache_files")).filter("hash is not null"))
+    now = st.put(current_state(read(spark, d, "source_files")))
+    names = F.when(F.col("change") == "added", "new").when(F.col("change") == "changed", "replaced").otherwise("dropped")
+    moved = changes(now, state).select("repo", "path", names.alias("origin"))
+    # what is there and did not move is kept; keys are grouped, so null repositories meet too
+    both = now.select("repo", "path", F.lit("kept").alias("origin")).unionByName(moved)
+    return both.groupBy("repo", "path").agg(F.coalesce(F.max(F.when(F.col("origin") != "kept", F.col("origin"))), F.lit("kept")).alias("origin"))
 
 
 def mode_rollup(spark, d):
@@ -346,7 +353,10 @@ def deblind(spark, d):
 
 
 def runs_per_agent(spark, d):
-    return evalmatrix.runs_per_agent(read(spark, d, "load_runs"), "repo", "mode")
+    """How many runs of each mode every repository has; the modes stand for the agents."""
+    r = read(spark, d, "load_runs")
+    tasks = r.groupBy("repo").agg(F.max(F.col("status") == "ok").alias("prepared"))
+    return evalmatrix.runs_per_agent(tasks, r, "repo", "mode", RUN_MODES)
 
 
 def run_states(spark, d):
@@ -356,7 +366,7 @@ def run_states(spark, d):
 
 def text_rules(spark, d):
     t = F.col("text")
-    return read(spark, d, "documents").select("doc_id", T.slugify(t).alias("slug"), T.truncate_text(t, 80).alias("short"), T.kind_hint(t).alias("kind"), T.prompt_title(t).alias("title"))
+    return read(spark, d, "documents").select("doc_id", T.slugify(t).alias("slug"), T.truncate_text(t).alias("short"), T.kind_hint(t).alias("kind"), T.prompt_title(t).alias("title"))
 
 
 def extract_functions(spark, d):
@@ -494,8 +504,8 @@ FROM m JOIN enc ON enc.path = m.path AND enc.line_number = m.line_number""",
     "reference_edges": f"WITH {_REFS} SELECT ref_id, referencer, target, kind, context FROM gr",
     "in_degree_heat": f"WITH {_EDGES}, {_REFS}, {_HEAT} SELECT id, heat FROM gh",
     "callers_depth1": f"WITH {_EDGES}, {_SEEDS} SELECT seed, caller, CAST(1 AS BIGINT) AS depth, edge_id, array_to_string(conditions, ' && ') AS conditions FROM seeds JOIN ge ON callee = seed AND caller <> seed",
-    "callers_depth3": f"""WITH RECURSIVE {_NODES}, pairs AS (SELECT DISTINCT caller, callee FROM edges WHERE caller IS NOT NULL AND callee IS NOT NULL),
-  b AS (SELECT id AS seed, id AS v, 0 AS depth FROM gn WHERE name = 'template' UNION SELECT b.seed, p.caller, b.depth + 1 FROM b JOIN pairs p ON p.callee = b.v WHERE b.depth < 3)
+    "callers_depth3": f"""WITH RECURSIVE {_SEEDS}, pairs AS (SELECT DISTINCT caller, callee FROM edges WHERE caller IS NOT NULL AND callee IS NOT NULL),
+  b AS (SELECT seed, seed AS v, 0 AS depth FROM seeds UNION SELECT b.seed, p.caller, b.depth + 1 FROM b JOIN pairs p ON p.callee = b.v WHERE b.depth < 3)
 SELECT seed, v AS caller, CAST(min(depth) AS BIGINT) AS depth FROM b GROUP BY 1, 2 HAVING v <> seed""",
     "references_of": f"WITH {_NODES}, {_EDGES}, {_REFS}, {_HEAT}, {_SEEDS}, {_RINFO} SELECT seed, ref_id, file, function, is_test, line, heat, context FROM rinfo",
     "topk_hidden": f"""WITH {_NODES}, {_EDGES}, {_REFS}, {_HEAT}, {_SEEDS}, {_CALLERS}
@@ -516,18 +526,30 @@ FROM enc LEFT JOIN {_COUNTS.format(t='info')} c ON c.seed = enc.node LEFT JOIN {
   done AS (SELECT chain FROM w WHERE len(chain) = 10 OR NOT EXISTS (SELECT 1 FROM t WHERE t.caller = w.tip AND NOT list_contains(w.chain, t.callee)))
 SELECT row_number() OVER (ORDER BY chain) - 1 AS path_id, array_to_string(chain, '/') AS chain FROM done QUALIFY path_id < 100000""",
     "dense_ids": f"WITH {_NODES} SELECT id, row_number() OVER (ORDER BY {_ORD}, repo, file, line, id) - 1 AS dense FROM gn",
-    "merge_graphs": f"SELECT row_number() OVER (ORDER BY {_ORD}, id) - 1 AS id, name, language FROM shared_nodes WHERE language IN ('rust', 'python')",
+    "merge_graphs": f"""WITH {_NODES}, {_EDGES}, {_REFS}, n AS (SELECT *, {_ORD} AS o, row_number() OVER (ORDER BY {_ORD}, id) - 1 AS k FROM gn),
+  e AS (SELECT a.k AS caller, b.k AS callee, array_to_string(ge.conditions, ' && ') AS conditions, row_number() OVER (ORDER BY a.o <> b.o, CASE WHEN a.o = b.o THEN a.o END, ge.edge_id, ge.caller, ge.callee) - 1 AS id
+    FROM ge JOIN n a ON a.id = ge.caller JOIN n b ON b.id = ge.callee),
+  r AS (SELECT a.k AS referencer, b.k AS target, gr.kind, gr.context, row_number() OVER (ORDER BY a.o <> b.o, CASE WHEN a.o = b.o THEN a.o END, gr.ref_id, gr.referencer, gr.target, gr.kind, gr.context NULLS FIRST) - 1 AS id
+    FROM gr JOIN n a ON a.id = gr.referencer JOIN n b ON b.id = gr.target)
+SELECT 'node' AS part, k AS id, name, qualified_name, language, file, is_test, line, end_line, NULL AS caller, NULL AS callee, NULL AS conditions, NULL AS referencer, NULL AS target, NULL AS kind, NULL AS context FROM n
+UNION ALL BY NAME SELECT 'edge' AS part, id, caller, callee, conditions FROM e
+UNION ALL BY NAME SELECT 'reference' AS part, id, referencer, target, kind, context FROM r""",
     "block_merge": f"""WITH {_LINES}, {_NODES}, {_POINTS}, {_ENC}, b AS (SELECT *, CASE WHEN qualified_name IS NOT NULL AND qualified_name IS NOT DISTINCT FROM lag(qualified_name) OVER (PARTITION BY path ORDER BY line_number) THEN 0 ELSE 1 END AS n FROM enc)
 SELECT path, line_number, CAST(sum(n) OVER (PARTITION BY path ORDER BY line_number) AS BIGINT) AS block FROM b""",
     "block_context": f"""WITH {_LINES}, {_POINTS} SELECT l.repo || '/' || l.path AS path, CAST(1 AS BIGINT) AS block, l.line_number, bool_or(p.line_number = l.line_number) AS is_match
 FROM lines l JOIN pts p ON p.path = l.repo || '/' || l.path AND l.line_number BETWEEN p.line_number - 1 AND p.line_number + 1 GROUP BY 1, 2, 3""",
-    "content_hash": "SELECT file_id, sha256(coalesce(content, '')) AS hash, sha256(repo || '::' || path)[:16] AS token FROM source_files",
-    "fingerprint": """SELECT repo, regexp_extract(path, '^(.*)/', 1) AS folder, sha256(string_agg(path || '|' || sha256(coalesce(content, '')) || '|', '' ORDER BY path)) AS fingerprint, count(*) AS n_files FROM source_files GROUP BY 1, 2""",
+    "content_hash": "SELECT file_id, sha256(coalesce(content, '')) AS hash, sha256(repo || '::' || path)[:12] AS token FROM source_files",
+    "fingerprint": f"""WITH f AS (SELECT repo, {_lang('path')} AS language, regexp_replace(path, '^\\./', '') AS path, sha256(coalesce(content, '')) AS hash FROM source_files),
+  e AS (SELECT repo, language, sha256(string_agg(path || chr(0) || hash || chr(0), '' ORDER BY path)) AS fingerprint, count(*) AS n_files FROM f WHERE language IS NOT NULL GROUP BY 1, 2)
+SELECT repo, language, fingerprint, n_files FROM e
+UNION ALL SELECT repo, NULL, sha256(string_agg(language || chr(0) || fingerprint || chr(0), '' ORDER BY {_ORD})), CAST(sum(n_files) AS BIGINT) FROM e GROUP BY 1""",
     "change_set": f"SELECT DISTINCT repo, regexp_replace(p, '^\\./', '') AS path FROM (SELECT repo, unnest(changed_files) AS p FROM load_runs WHERE status = 'ok') WHERE ({_lang('p')}) IS NOT NULL",
-    "incremental_merge": """WITH s AS (SELECT repo, path FROM (SELECT c.repo, regexp_replace(c.path, '^\\./', '') AS path, c.source_hash FROM cache_files c JOIN (SELECT run_id, max(finished_at) AS fin FROM load_runs WHERE status = 'ok' GROUP BY 1) r ON r.run_id = c.run_id
+    "incremental_merge": """WITH s AS (SELECT repo, path, lower(source_hash) AS hash FROM (SELECT c.repo, regexp_replace(c.path, '^\\./', '') AS path, c.source_hash FROM cache_files c
+    JOIN (SELECT run_id, max(finished_at) AS fin FROM load_runs WHERE status = 'ok' GROUP BY 1) r ON r.run_id = c.run_id
     QUALIFY row_number() OVER (PARTITION BY c.repo, regexp_replace(c.path, '^\\./', '') ORDER BY r.fin DESC NULLS LAST, c.run_id DESC, c.written_at DESC NULLS LAST, lower(c.source_hash) DESC NULLS LAST) = 1) WHERE source_hash IS NOT NULL),
-  f AS (SELECT DISTINCT repo, path FROM source_files)
-SELECT repo, path, 'kept' AS origin FROM s SEMI JOIN f USING (repo, path) UNION ALL SELECT repo, path, 'new' FROM f ANTI JOIN s USING (repo, path)""",
+  f AS (SELECT repo, regexp_replace(path, '^\\./', '') AS path, lower(coalesce(content_sha256, sha256(coalesce(content, '')))) AS hash FROM source_files)
+SELECT coalesce(f.repo, s.repo) AS repo, coalesce(f.path, s.path) AS path, CASE WHEN s.path IS NULL THEN 'new' WHEN f.path IS NULL THEN 'dropped' WHEN s.hash = f.hash THEN 'kept' ELSE 'replaced' END AS origin
+FROM f FULL JOIN s ON s.repo = f.repo AND s.path = f.path""",
     "mode_rollup": """SELECT repo, CASE max(CASE mode WHEN 'full_rebuild' THEN 2 WHEN 'incremental' THEN 1 ELSE 0 END) WHEN 2 THEN 'full_rebuild' WHEN 1 THEN 'incremental' ELSE 'reused' END AS mode,
   CASE WHEN count(DISTINCT head) = 1 THEN max(head) END AS only_head FROM load_runs WHERE status = 'ok' GROUP BY 1""",
     "diff_summary": """WITH c AS (SELECT repo, regexp_replace(path, '^\\./', '') AS path, count(*) AS added FROM cache_files GROUP BY 1, 2), s AS (SELECT repo, path, 'A' AS status FROM source_files)
@@ -539,12 +561,15 @@ SELECT repo, run_id, head, ok FROM r QUALIFY row_number() OVER (PARTITION BY rep
     "score_matrix": "WITH " + _SCORES + " SELECT doc_id, " + ", ".join(f"max(score) FILTER (WHERE label = '{v}' AND measure = '{m}') AS \"{v}_{m}\"" for v in "ABC" for m in evalmatrix.MEASURES) + " FROM sc GROUP BY 1",
     "judgment_faults": f"WITH {_SCORES}, j AS (SELECT doc_id || '/' || label AS judgment, measure, score FROM sc) SELECT a.judgment, 'missing ' || m.m AS fault FROM (SELECT DISTINCT judgment FROM j) a, (SELECT unnest({evalmatrix.MEASURES}) AS m) m"
     " WHERE NOT EXISTS (SELECT 1 FROM j WHERE j.judgment = a.judgment AND j.measure = m.m) UNION SELECT judgment, 'range ' || measure FROM j WHERE score IS NULL OR score NOT BETWEEN 1 AND 5",
-    "deblind": f"""WITH {_SCORES}, s AS (SELECT DISTINCT doc_id, label FROM sc), l AS (SELECT doc_id, lower(label) AS variant, chr(CAST(64 + row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || '::' || lower(label))[:16], lower(label)) AS INT)) AS label FROM s)
+    "deblind": f"""WITH {_SCORES}, s AS (SELECT DISTINCT doc_id, label FROM sc), l AS (SELECT doc_id, lower(label) AS variant, chr(CAST(64 + row_number() OVER (PARTITION BY doc_id ORDER BY sha256(doc_id || '::' || lower(label))[:12], lower(label)) AS INT)) AS label FROM s)
 SELECT s.doc_id, coalesce(l.variant, s.label) AS label FROM s LEFT JOIN l ON l.doc_id = s.doc_id AND l.label = s.label UNION ALL SELECT DISTINCT doc_id, 'tie' FROM s""",
-    "runs_per_agent": "SELECT repo, string_agg(mode || ' ' || n, ', ' ORDER BY mode) AS runs FROM (SELECT repo, mode, count(*) AS n FROM load_runs WHERE mode IS NOT NULL GROUP BY 1, 2) GROUP BY 1",
-    "text_rules": f"""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 60), '-+$', '') AS slug,
-  CASE WHEN length({_WS}) > 80 THEN rtrim(substring({_WS}, 1, 77), ' ') || '...' ELSE {_WS} END AS short,
-  CASE WHEN text IS NULL THEN 'unknown' WHEN regexp_matches(lower(text), '{"|".join(T.BUG_WORDS)}') THEN 'bug' WHEN regexp_matches(lower(text), '{"|".join(T.FEATURE_WORDS)}') THEN 'feature' ELSE 'unknown' END AS kind,
-  trim(regexp_replace(replace(substring(text, 1, 60), '`', ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS title FROM documents""",
+    "runs_per_agent": """WITH n AS (SELECT repo, mode, count(*) AS n FROM load_runs WHERE mode IN ('incremental', 'full_rebuild', 'reused') GROUP BY 1, 2),
+  t AS (SELECT repo, string_agg(mode || ':' || n, ', ' ORDER BY list_position(['incremental', 'full_rebuild', 'reused'], mode)) AS runs FROM n GROUP BY 1)
+SELECT r.repo, coalesce(t.runs, CASE WHEN r.prepared THEN 'prepared' ELSE '-' END) AS runs FROM (SELECT repo, coalesce(bool_or(status = 'ok'), false) AS prepared FROM load_runs GROUP BY 1) r LEFT JOIN t ON t.repo = r.repo""",
+    "text_rules": rf"""SELECT doc_id, regexp_replace(substring(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 48), '-+$', '') AS slug,
+  CASE WHEN length({_WS}) > 600 THEN rtrim(substring({_WS}, 1, 597), ' ') || '...' ELSE {_WS} END AS short,
+  CASE WHEN regexp_matches(lower(text), 'bug|regression|crash|error|incorrect|broken|fails|failure|fix') THEN 'bug'
+    WHEN regexp_matches(lower(text), 'feature|enhancement|proposal|rfc|support|add |allow|option|request') THEN 'feature' ELSE 'unknown' END AS kind,
+  trim(regexp_replace(replace(text, '`', ''), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS title FROM documents""",
     "run_states": "SELECT run_id, CASE WHEN status = 'ok' THEN 'published' WHEN finished_at IS NOT NULL THEN 'judged' WHEN status = 'running' THEN 'snapshotted' ELSE 'created' END AS state FROM load_runs",
 }

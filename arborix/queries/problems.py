@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, incremental, skew
-from ..session import Stages, read, shared_dir
+from ..session import Stages, read
 
 
 def _tree(spark: SparkSession, d: str) -> hierarchy.Hierarchy:
@@ -51,9 +49,10 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     # what the runs left is put in force as a state version of its own; the next run's work is then planned against it
-    store = incremental.StateStore(spark, f"{shared_dir(spark)}/arborix/state-{uuid.uuid4().hex[:12]}")
+    stages = Stages(spark, "p6")
+    store = incremental.StateStore(spark, f"{stages.root}/state")
     store.commit(incremental.stored_state(read(spark, d, "load_runs"), read(spark, d, "cache_files")))
-    return incremental.changes(incremental.current_state(read(spark, d, "source_files")), store.load())
+    return incremental.plan_run(store, read(spark, d, "source_files"), stages)[2]
 
 
 def p6_state(spark: SparkSession, d: str) -> DataFrame:

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import chain, count
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+from ..session import _fs
+
+# The fields of the documents.
 TASK = "id string, repo struct<name:string,url:string,license:string,language:string>, issue struct<number:long,url:string,title:string>, ground_truth struct<pr_number:long,pr_url:string,pre_fix_commit:string,merge_commit:string>, prompt struct<title:string,body:string>, evaluation_focus array<string>"
 SCORES = "map<string,struct<pr_alignment:int,reuse_alignment:int,duplication_risk:int,test_alignment:int>>"
 JUDGMENT = f"better_matches_pr string, better_overall string, overall_ranking array<string>, confidence string, scores {SCORES}, summary string"
@@ -25,13 +31,56 @@ def judgment_scores(judgments: DataFrame, *keys: str) -> DataFrame:
     return each.select(*keys, "label", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"s.{m}").cast("long").alias("score")) for m in ("pr_alignment", "reuse_alignment", "duplication_risk", "test_alignment")])).alias("x")).select(*keys, "label", "x.*")
 
 
-def run_records(spark: SparkSession, root: str) -> DataFrame:
-    """task, agent, run_id, n_files of every run folder root/task/agent/run_id, latest first; contents are not read."""
-    base = root.rstrip("/").removeprefix("file://")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"file://{base}").select("path")
-    rel = F.split(F.expr(f"substring(path, instr(path, '{base}/') + {len(base) + 1})"), "/")
-    rows = listed.select(rel.alias("p")).filter(F.size("p") >= 4).select(F.get("p", F.lit(0)).alias("task"), F.get("p", F.lit(1)).alias("agent"), F.get("p", F.lit(2)).alias("run_id"))
-    return rows.groupBy("task", "agent", "run_id").agg(F.count(F.lit(1)).alias("n_files")).orderBy(F.desc("run_id"), F.desc("task"), F.desc("agent"))
+def run_records(spark: SparkSession, root: str, tasks: DataFrame | None = None, variants: tuple[str, ...] = ("control", "tool")) -> DataFrame:
+    """repo, task, agent, run_id, a column per variant, and status of every run root/runs/task/evaluations/agent/run_id, latest first.
+
+    Status goes from ``created`` over ``snapshotted`` (a variant left a diff or a list of files) and ``judged`` (a judgment is there) to
+    ``published``; only publish.json is read, the other files count by their names. Without a task of that id the repo is ``-``.
+    """
+    base = (root if "://" in root else f"file://{root}").rstrip("/") + "/runs"
+    fs, at = _fs(spark, base)
+    found, names = fs.listFiles(at, True), []
+    while found.hasNext():  # some files per run; an evaluation has few runs
+        names.append((found.next().getPath().toString(),))
+    at = fs.resolvePath(at)
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "publish.json").load(base).select(F.col("path").alias("_at"), F.col("content").cast("string").alias("text"))
+    listed = spark.createDataFrame(names, "path string").join(texts, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("_at", "^file:/+", "/"), "left")
+    p = F.split(F.expr(f"substring(path, {len(at.toString()) + 2})"), "/")
+    files = listed.select(p.alias("p"), "text").filter((F.size("p") >= 5) & (F.get("p", F.lit(1)) == "evaluations"))
+    named = files.select(F.get("p", F.lit(0)).alias("task"), F.get("p", F.lit(2)).alias("agent"), F.get("p", F.lit(3)).alias("run_id"), F.array_join(F.slice("p", 5, F.size("p")), "/").alias("file"), "text")
+    any_ = lambda c: F.coalesce(F.max(c), F.lit(False))
+    meta = F.from_json("text", "published boolean, branches map<string,struct<url:string>>")
+    left = [any_(F.col("file").isin(f"{v}.diff", f"{v}_files.json")).alias(f"_left_{v}") for v in variants]
+    runs = named.groupBy("task", "agent", "run_id").agg(any_((F.col("file") == "judgment.json") | F.col("file").rlike(r"^judgments/[^/]+\.json$")).alias("_judged"), F.first(F.when(F.col("file") == "publish.json", meta), True).alias("_m"), *left)
+    published = F.coalesce(F.col("_m.published"), F.lit(False))
+    for v in variants:
+        runs = runs.withColumn(v, T.variant_status(published, F.col("_m.branches")[v]["url"], F.col(f"_left_{v}")))
+    started = F.lit(False)
+    for v in variants:
+        started = started | (F.col(v) != "-")
+    runs = runs.withColumn("status", T.run_status(published, F.col("_judged"), started))
+    names = tasks.select(F.col("id").alias("_t"), F.col("repo.name").alias("_repo")) if tasks is not None else spark.createDataFrame([], "_t string, _repo string")
+    out = runs.join(names, F.col("task") == F.col("_t"), "left").select(F.coalesce("_repo", F.lit("-")).alias("repo"), "task", "agent", "run_id", *variants, "status")
+    return out.orderBy(F.desc("run_id"), F.desc("task"), F.desc("agent"))
+
+
+def run_list(records: DataFrame, variants: tuple[str, ...] = ("control", "tool")) -> DataFrame:
+    """line: one line of text per run record."""
+    each = [F.concat(F.lit(f"{v} "), F.col(v)) for v in variants]
+    return records.select(F.concat_ws(" | ", "repo", "task", "agent", "run_id", *each, "status").alias("line"))
+
+
+def matrix_markdown(rows: list) -> str:
+    """The matrix of scored tasks (rows of ``matrix_rows`` with report_path and, per variant, branch_url) as Markdown. A short report by its nature."""
+    link = lambda url: f"[branch]({url})" if url else "n/a"
+    shown = lambda v: v.removesuffix("_review") + " + review" if v.endswith("_review") else v
+    table = lambda cells: "| " + " | ".join(str(c) for c in cells) + " |"
+    out = ["# Benchmark Matrix", "", table(["Task", "Agent", "Judge", "Variants", "Better vs PR", "Better overall", "Best variant", "Confidence", "Report"]), table(["---"] * 3 + ["---:"] + ["---"] * 5)]
+    for r in rows:
+        out += [table([r["task_id"], r["agent"], r["judge"], r["variant_count"], r["best_matches_pr"], r["best_overall"], r["best_variant"], r["confidence"], r["report_path"]]), ""]
+        out += [table(["Variant", "PR align", "Reuse", "Duplication", "Tests", "Branch"]), table(["---"] + ["---:"] * 4 + ["---"])]
+        out += [table([shown(v["variant"]), v["pr_alignment"], v["reuse_alignment"], v["duplication_risk"], v["test_alignment"], link(v["branch_url"])]) for v in r["variants"]]
+    return "\n".join(out) + "\n"
 
 
 def add_task(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -43,6 +92,12 @@ def add_task(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
     return tasks.unionByName(both)
 
 
+def free_task_id(wanted: str, issue: int, taken: set[str]) -> str:
+    """The id itself, with the issue's number behind it, or with 2, 3, ... behind that: the first that is not taken (a short list by its nature)."""
+    numbered = f"{wanted}-{issue}"
+    return next(x for x in chain([wanted, numbered], (f"{numbered}-{n}" for n in count(2))) if x not in taken)
+
+
 def first_closed_issue(prs: DataFrame) -> DataFrame:
     """repo, pr_number, issue: of every merged pull request the first issue it closes that somebody else wrote.
 

@@ -11,7 +11,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import StateStore
+from ..operators.incremental import StateStore, combined_fingerprints, fingerprints
 from ..session import remove
 
 SCHEMA_VERSION = 1
@@ -90,11 +90,6 @@ class IndexStore:
 
 
 def fingerprint(state: DataFrame) -> str:
-    """SHA-256 over path, NUL, hash, NUL of all files in path order: the same bytes as a driver-side digest would take.
-
-    Paths and hashes are an order of magnitude smaller than the files; they are put together per folder first, and the folders' digests then.
-    """
-    folder = F.regexp_extract("path", r"^(.*)/", 1)
-    per = state.groupBy(folder.alias("d")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "hash"))), lambda x: F.concat(x["path"], F.lit("\0"), F.coalesce(x["hash"], F.lit("")), F.lit("\0"))), ""), 256).alias("h"))
-    whole = per.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("d", "h"))), lambda x: F.concat(x["d"], F.lit("\0"), x["h"], F.lit("\0"))), ""), 256)).collect()[0][0]
-    return whole
+    """The combined fingerprint of a state (language, path, hash): that of its languages' fingerprints; of no files the digest of nothing."""
+    one = combined_fingerprints(fingerprints(state, ["language"]).withColumn("_all", F.lit(0)), ["_all"])
+    return next((r["fingerprint"] for r in one.collect()), hashlib.sha256().hexdigest())

@@ -44,6 +44,81 @@ def test_runs(spark, tmp_path):
     assert run(store, second) == []
 
 
+def test_a_file_that_changes_during_a_run(spark, tmp_path):
+    """The state has the hashes that the changes were told by, so the later change is seen by the next run."""
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    at = f"{tmp_path}/files"
+    write = lambda text: files(spark, [("a", text)]).coalesce(1).write.mode("overwrite").parquet(at)
+    write("1")
+    seen = []
+
+    def process(todo):
+        seen.extend((r.path, r.change) for r in todo.collect())
+        write("2")
+
+    inc.run_incremental(store, spark.read.parquet(at), process)
+    assert run(store, spark.read.parquet(at)) == [("a", "changed")] and seen == [("a", "added")]
+    assert run(store, spark.read.parquet(at)) == []
+
+
+def test_output_and_state_come_in_force_together(spark, tmp_path, monkeypatch):
+    """A run that dies before the one step leaves nothing of its output in force, one that dies after it everything."""
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    df = files(spark, [("a", "1"), ("b", "1")])
+    rows = lambda: sorted((r.path, r.change) for o in store.outputs() for r in spark.read.parquet(o).collect())
+    die = lambda *a: (_ for _ in ()).throw(RuntimeError("died"))
+    with monkeypatch.context() as m:
+        m.setattr(store, "succeed", die)
+        with pytest.raises(RuntimeError):
+            inc.run_incremental(store, df, lambda todo: todo)
+    assert rows() == [] and store.current_version() is None
+    with monkeypatch.context() as m:
+        m.setattr(store, "swap", die)  # behind the step
+        with pytest.raises(RuntimeError):
+            inc.run_incremental(store, df, lambda todo: todo)
+    assert rows() == [("a", "added"), ("b", "added")]
+    assert run(store, df) == []
+    inc.run_incremental(store, files(spark, [("a", "2"), ("b", "1")]), lambda todo: todo)
+    assert rows() == [("a", "added"), ("a", "changed"), ("b", "added")]
+    assert store.vacuum(hours=1) == 0 and store.vacuum(hours=0) >= 2  # state and output of the run that died first
+    assert rows() == [("a", "added"), ("a", "changed"), ("b", "added")] and store.load().count() == 2
+
+
+def test_of_two_runs_at_once_one_is_refused(spark, tmp_path):
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    run(store, files(spark, [("a", "1")]))
+
+    def process(todo):
+        run(inc.StateStore(spark, store.root), files(spark, [("a", "1"), ("b", "1")]))
+
+    with pytest.raises(inc.Conflict):
+        inc.run_incremental(store, files(spark, [("a", "1"), ("c", "1")]), process)
+    assert {r.path for r in store.load().collect()} == {"a", "b"}
+    assert run(store, files(spark, [("a", "1"), ("b", "1"), ("c", "1")])) == [("c", "added")]
+
+
+def test_old_versions_go(spark, tmp_path):
+    store = inc.StateStore(spark, f"file://{tmp_path}/state")
+    for i in range(5):
+        run(store, files(spark, [("a", str(i))]))
+    assert sum(p.name.startswith("v-") for p in (tmp_path / "state").iterdir()) == 2
+
+
+def test_fingerprints(spark):
+    import hashlib
+
+    rows = [("r", "python", f"d/{i}.py", f"h{i}") for i in range(50)] + [("r", "rust", "é.rs", None), (None, "python", "z", "1")]
+    df = spark.createDataFrame(rows, "repo string, language string, path string, hash string")
+    digest = lambda parts: hashlib.sha256("".join(x + "\0" for p in parts for x in p).encode()).hexdigest()
+    py = digest(sorted((p, h) for r, n, p, h in rows[:50]))
+    rs = digest([("é.rs", "")])
+    got = inc.fingerprints(df, ["repo", "language"])
+    assert {(r.repo, r.language): (r.fingerprint, r.n_files) for r in got.collect()} == {("r", "python"): (py, 50), ("r", "rust"): (rs, 1), (None, "python"): (digest([("z", "1")]), 1)}
+    both = {r.repo: r.fingerprint for r in inc.combined_fingerprints(got, ["repo"]).collect()}
+    assert both["r"] == digest([("rust", rs), ("python", py)])
+    assert inc.fingerprints(df.limit(0), ["repo"]).count() == 0
+
+
 def test_stored_state(spark):
     t = lambda d: datetime(2025, 1, d)
     runs = spark.createDataFrame([(1, "ok", t(1)), (1, "running", None), (2, "failed", t(9)), (3, "ok", t(5)), (4, "ok", t(5)), (None, "ok", t(9))], "run_id long, status string, finished_at timestamp")
