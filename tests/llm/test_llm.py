@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("arborix.llm")
 
@@ -195,8 +196,6 @@ def test_top_n(spark):
 
 
 def test_a_group_over_many_partitions(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(20000).select(F.when(F.col("id") < 18000, 1).otherwise(F.col("id")).alias("g"), F.col("id").alias("e"), F.lit(0).alias("rnk"))
     got = topn.top_n(df.drop("rnk"), ["g"], [F.col("e").desc()], "e", 7000)
     assert [tuple(r) for r in got.filter("g = 1").orderBy("rnk").select("e", "rnk").collect()] == [(17999 - i, i + 1) for i in range(7000)]
@@ -220,9 +219,21 @@ def test_ids(spark, monkeypatch):
     want = {i: enc.encode_ordinary(t or "") for i, t in enumerate(TEXTS)}
     assert {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()} == want
     assert {r.doc_id: r.text for r in tokens.decode(tokens.encode(df)).collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
-    monkeypatch.setattr(tokens, "DICTIONARY_BYTES", 0)  # the way for a dictionary that is too large to be sent out
+    sizes = {r.doc_id: r.tokens for r in tokens.count_tokens(df, ["doc_id", "word"]).collect()}
+    assert sizes == {i: len(v) for i, v in want.items()}
+    # a bound that takes only the most frequent words, or none
+    for bound in (150, 0):
+        monkeypatch.setattr(tokens, "DICTIONARY_BYTES", bound)
+        assert {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()} == want
+        assert {r.doc_id: r.tokens for r in tokens.count_tokens(df, ["doc_id", "word"]).collect()} == sizes
+        again = df.unionByName(df).withColumn("doc_id", F.lit(None).cast("long"))  # repeated rows and null keys
+        assert sorted(list(r.ids) for r in tokens.encode(again).collect()) == sorted(2 * list(want.values()))
+        assert tokens.encode(df.limit(0)).count() == 0
+    monkeypatch.setattr(tokens, "BATCH", 3)
+    monkeypatch.setattr(tokens, "COUNTED", 2)
     assert {r.doc_id: list(r.ids) for r in tokens.encode(df).collect()} == want
-    assert tokens.encode(df.limit(0)).count() == 0
+    monkeypatch.undo()
+    assert tokens.encode(df.limit(0)).count() == 0 and tokens.decode(tokens.encode(df.limit(0))).count() == 0
 
 
 # -- p8 --------------------------------------------------------------------------------
@@ -259,6 +270,32 @@ def test_shares(spark):
         assert r.running == run
 
 
+def test_mix_is_that_of_queues_kept_one_by_one(spark):
+    """Every drawn occurrence, its order and its running sum, against queues that are served one document at a time."""
+    rng = random.Random(10)
+    for k, ratio in enumerate((0.05, 0.4, 0.9, 1.7, 9.0)):
+        rows = [(rng.choice("aaaabbc"), rng.choice([1, 3, 3, 8, 20, 150])) for _ in range(700)]
+        targets = [("a", 0.2, 1, ratio), ("b", 0.55, 3, ratio), ("c", 0.25, 5, ratio)]
+        df = spark.createDataFrame([(i,) for i in range(len(rows))], "doc_id long")
+        order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).collect()}
+        all_ = []
+        for s, weight, repeats, _ in targets:
+            mine = sorted((order[i], i) for i, (x, _) in enumerate(rows) if x == s)
+            upto = 0
+            for turn in range(repeats):
+                for _, i in mine:
+                    upto += rows[i][1]
+                    all_.append((upto / weight, s, i, turn))
+        want, run, budget = [], 0, int(sum(n for _, n in rows) * ratio)
+        for _, s, i, turn in sorted(all_):
+            run += rows[i][1]
+            if run > budget:
+                break
+            want.append((i, s, turn, rows[i][1], run))
+        drawn, _ = mixed(spark, rows, targets)
+        assert [tuple(r) for r in drawn] == want, k
+
+
 def test_mix_edges(spark):
     assert mixed(spark, [], [("a", 1.0, 1, 0.5)])[0] == []
     drawn, share = mixed(spark, [("a", 0), ("a", 3), (None, 5)], [("a", 1.0, 1, 1.0), (None, 0.5, 1, 1.0)])
