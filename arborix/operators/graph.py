@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import language_ordinal
-from ..session import Stages
+from ..session import Stages, small_table
 from .resolve import resolve
 from .skew import salted_join
 
@@ -74,7 +74,7 @@ def build_graph(functions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 def merge_graphs(spark: SparkSession, graphs: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Graphs one after the other, each graph's ids moved behind those of the graphs before; no graph gives empty tables."""
-    out = [spark.createDataFrame([], s) for s in (NODES, EDGES, REFERENCES)]
+    out = [small_table(spark, [], s) for s in (NODES, EDGES, REFERENCES)]
     n = e = r = 0
     for nodes, edges, refs in graphs:
         out[0] = out[0].unionByName(nodes.withColumn("id", F.col("id") + n))
@@ -130,7 +130,7 @@ def callers(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
             front = first.select("seed", "at", "rank")
             seen = seen.unionByName(front.select("seed", F.col("at").alias("v")))
     if out is None:
-        return seeds.sparkSession.createDataFrame([], "seed long, caller long, depth long, edge_id long, conditions array<string>")
+        return small_table(seeds.sparkSession, [], "seed long, caller long, depth long, edge_id long, conditions array<string>")
     return out
 
 

@@ -62,7 +62,7 @@ def _walk(rows: DataFrame, stages: Stages, stop) -> tuple[DataFrame, int]:
         for d in done:
             table = table.unionByName(d)
         look = table.select(F.col("node").alias("l_node"), F.col("up").alias("l_up"), F.col("seg").alias("l_seg"), F.col("open").alias("l_open"))
-        step = stages.put(stop(salted_join(active, look, "up", "l_node", F.col("node"), total=left)), split="open")
+        step = stages.put(stop(salted_join(active, look, "up", "l_node", F.col("node"))), split="open")
         active = step.filter("open")
         done.append(step.filter("not open"))
         n = active.count()
@@ -100,9 +100,10 @@ def build(links: DataFrame, child: str, parent: str, order: list[str], rate: int
     )
 
     def to_root(j: DataFrame) -> DataFrame:
-        # a looked-up row that is lost (`up` -1, not open) ends the walk as lost
-        lost = F.col("l_node").isNull() | (~F.col("l_open") & F.col("l_up").isNotNull())
-        return j.select("node", F.when(lost, F.lit(-1)).otherwise(F.col("l_up")).cast("long").alias("up"), F.when(lost, F.col("seg")).otherwise(F.concat("l_seg", "seg")).alias("seg"), (~lost & F.col("l_up").isNotNull()).alias("open"))
+        # a looked-up row that is lost (`up` -1, not open) ends the walk as lost, and so does a stretch that comes back to its own end: stretches
+        # on circles grow to the circle's length, not to that of the deepest chain
+        lost = F.col("l_node").isNull() | (~F.col("l_open") & F.col("l_up").isNotNull()) | F.array_contains("l_seg", F.col("node"))
+        return j.select("node", F.when(lost, F.lit(-1)).otherwise(F.col("l_up")).cast("long").alias("up"), F.when(lost, F.array().cast("array<long>")).otherwise(F.concat("l_seg", "seg")).alias("seg"), (~lost & F.col("l_up").isNotNull()).alias("open"))
 
     solved, _ = _walk(reduced.drop("lost").withColumn("up", F.col("up").cast("long")), stages, to_root)
     heads = solved.filter("up is null").select(F.col("node").alias("h_node"), F.col("seg").alias("h_seg"))
@@ -140,7 +141,8 @@ def circles(h: Hierarchy) -> DataFrame:
     n, length = jump.count(), 1
     while length <= n:
         look = jump.select(F.col("node").alias("l_node"), F.col("to").alias("l_to"), F.col("least").alias("l_least"))
-        jump = st.put(salted_join(jump, look, "to", "l_node", F.col("node"), "inner").select("node", F.col("l_to").alias("to"), F.least("least", "l_least").alias("least")))
+        before, jump = jump, st.put(salted_join(jump, look, "to", "l_node", F.col("node"), "inner").select("node", F.col("l_to").alias("to"), F.least("least", "l_least").alias("least")))
+        st.drop(before)
         length *= 2
     on = jump.select(F.col("to").alias("c_node")).distinct()
     least = jump.join(on, F.col("node") == F.col("c_node")).select(F.col("node").alias("e_node"), F.col("least").alias("circle_id"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import language_ordinal, normalize_path
-from ..session import Stages, _fs, remove
+from ..session import Stages, _fs, remove, small_table
 
 STATE = "repo string, path string, hash string"
 
@@ -82,7 +82,7 @@ class StateStore:
         return self.load_version(self.current_version())
 
     def load_version(self, v: str | None) -> DataFrame:
-        return self.spark.createDataFrame([], STATE) if v is None else self.spark.read.schema(STATE).parquet(f"{self.root}/{v}")
+        return small_table(self.spark, [], STATE) if v is None else self.spark.read.schema(STATE).parquet(f"{self.root}/{v}")
 
     def prepare(self, state: DataFrame, output: DataFrame | None = None) -> str:
         """Write a version, and the output that belongs to it, without putting them in force."""

@@ -12,7 +12,10 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Settings for a session of our own; a session that exists is left as it is.
 DEFAULTS = {
@@ -37,13 +40,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables; set only where the session has none."""
+    """The shared folder for intermediate tables; set only where a local session has none, an error on a cluster without one."""
     told = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if told:
         return told.rstrip("/")
     current = sc.getCheckpointDir()
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="arborix-"))
         current = sc.getCheckpointDir()
     return current.rstrip("/")
@@ -64,6 +69,13 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows as a local relation of the plan: no Python worker has to start for it."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    cols = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(list(c), f.type) for c, f in zip(cols, kinds)], schema=kinds), schema)
+
+
 class Stages:
     """Written intermediate tables of one operator run.
 

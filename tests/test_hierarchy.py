@@ -63,3 +63,34 @@ def test_deep_wide_and_circles(spark):
     assert got(h) == want
     pairs = {(a, b) for a, b, _ in (tuple(r) for r in hierarchy.descendants(h).collect())}
     assert pairs == {(int(x), n) for n, (_, _, path) in want.items() if path for x in path.split("/")[:-1]}
+
+
+def test_circles_below_a_deep_chain(spark):
+    """Stretches on circles stay short however deep the chains are."""
+    rows = [(None if i == 0 else i - 1, i, 0) for i in range(2000)]
+    rows += [(5000 + (i + 1) % 60, 5000 + i, 0) for i in range(60)] + [(5003, 6000, 0)] + [(6000 + i, 6001 + i, 0) for i in range(50)] + [(7000, 7000, 0), (7000, 7001, 0)]
+    h = build(spark, rows)
+    assert got(h) == brute(rows)[0]
+    assert {r.circle_id for r in hierarchy.circles(h).collect()} == {5000, 7000}
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    import pytest
+
+    from arborix.session import shared_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session())
