@@ -2,67 +2,78 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Stages, shuffle_width
+from ..session import Stages, shuffle_width, small_table
 
-#: A key with more than this share of the rows is hot; so there are fewer than 1 / HOT_SHARE hot keys.
-HOT_SHARE = 1 / 200
-#: So many rows of a key burden no task, whatever their share.
+#: So many rows of a key burden no task, however few rows the others have.
 SMALL = 1000
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, total: int | None = None) -> list:
-    """The non-null keys with more than ``share`` of the rows: at most ``1 / share`` values by the pigeonhole principle.
+def hot_counts(df: DataFrame, key: str) -> tuple[dict, int]:
+    """(rows of each hot key, rows from which a key is hot). A key is hot if it has more non-null rows than a task has on average.
 
-    The counts are combined on the map side; only the bounded list reaches the driver.
+    So there are fewer hot keys than shuffle partitions, by the pigeonhole principle, and only those reach the driver. Counts are combined on the
+    map side; total and largest count come from one pass, and without a hot key there is no other. ``df`` is read once or twice: it should be a
+    written table or cheap.
     """
     counts = df.groupBy(F.col(key).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count() if total is None else total
-    if total <= SMALL:
-        return []
-    return [r["k"] for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > max(total * share, SMALL))).collect()]
+    total, most = counts.agg(F.sum("n"), F.max(F.when(F.col("k").isNotNull(), F.col("n")))).collect()[0]
+    line = max((total or 0) // shuffle_width(df.sparkSession), SMALL)
+    if (most or 0) <= line:
+        return {}, line
+    return {r["k"]: r["n"] for r in counts.filter(F.col("k").isNotNull() & (F.col("n") > line)).collect()}, line
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The hot keys (see ``hot_counts``)."""
+    return list(hot_counts(df, key)[0])
 
 
-def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spread: Column, how: str = "left", share: float = HOT_SHARE, total: int | None = None) -> DataFrame:
-    """Equi-join in which the rows of a hot key of ``big`` are spread over all shuffle partitions.
+def salted_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str, spread: Column, how: str = "left", hot: tuple[dict, int] | None = None) -> DataFrame:
+    """Equi-join in which the rows of a hot key of ``big`` are spread over as many tasks as they are worth.
 
-    ``small`` must be unique on its key: then its at most ``1 / share`` hot rows are repeated once per shuffle partition, the other
-    rows are shuffled once, and no side is broadcast whatever its size. ``spread`` is a column of ``big`` whose hash spreads hot rows.
-    Null keys match nothing (``how='left'`` keeps the row). Columns other than the key must not clash.
+    A hot key with n rows is cut into n / line parts by the hash of ``spread``, a column of ``big``, and its rows in ``small`` are repeated once
+    per part; since the hot keys together have no more rows than ``big``, that makes fewer than two rows per shuffle partition where ``small`` is
+    unique on its key. The other rows are shuffled once. Only the list of hot keys, shorter than the number of shuffle partitions, is
+    broadcast. Null keys match nothing (``how='left'`` keeps the row). Columns other than the key must not clash.
+    ``hot`` gives the counts where they are known.
     """
-    spark = big.sparkSession
-    hot = hot_keys(big, big_key, share, total)
-    if not hot:
+    counts, line = hot_counts(big, big_key) if hot is None else hot
+    if not counts:
         return big.join(small, big[big_key] == small[small_key], how)
-    n = shuffle_width(spark)
-    is_hot = lambda c: F.coalesce(F.col(c).isin(hot), F.lit(False))
+    kind = dict(big.dtypes)[big_key]
+    parts = small_table(big.sparkSession, [(k, -(-n // line)) for k, n in counts.items()], f"_hot {kind}, _parts long")
+    width = shuffle_width(big.sparkSession)
     # rows without a key cannot match, so they are spread as well
-    b = big.withColumn("_salt", F.when(is_hot(big_key) | F.col(big_key).isNull(), F.pmod(F.xxhash64(spread), F.lit(n))).otherwise(F.lit(0)).cast("int"))
-    s = small.withColumn("_salt_s", F.explode(F.when(is_hot(small_key), F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))))
-    return b.join(s, (b[big_key] == s[small_key]) & (b["_salt"] == s["_salt_s"]), how).drop("_salt", "_salt_s")
+    salt = F.pmod(F.xxhash64(spread), F.when(F.col(big_key).isNull(), F.lit(width)).otherwise(F.coalesce("_parts", F.lit(1))))
+    b = big.join(F.broadcast(parts), big[big_key] == F.col("_hot"), "left").withColumn("_salt", salt).drop("_hot", "_parts")
+    s = small.join(F.broadcast(parts), small[small_key] == F.col("_hot"), "left").withColumn("_salt_s", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts")
+    return b.join(s, (F.col(big_key) == F.col(small_key)) & (F.col("_salt") == F.col("_salt_s")), how).drop("_salt", "_salt_s")
 
 
-def exact_quantiles(pairs: DataFrame, probs: dict[str, float], heavy_share: float = 1 / 1000, bins: int = 256, stages: Stages | None = None) -> DataFrame:
+def exact_quantiles(pairs: DataFrame, probs: dict[str, float], bins: int = 256, stages: Stages | None = None) -> DataFrame:
     """Exact discrete quantiles of ``value`` per ``key``, without gathering the values of a heavy key.
 
     ``pairs`` has ``key`` and a BIGINT ``value``; null values are ignored. Result: key, n, and one column per entry of ``probs``: the value
     of rank ``max(1, ceil(p * n))`` in ascending order, the rule of SQL's PERCENTILE_DISC. Keys without a value are left out.
 
-    Keys with more than ``heavy_share`` of the rows (at most ``1 / heavy_share`` of them) are resolved by distributed selection: each round
+    Keys with more rows than a task has on average (fewer than there are shuffle partitions) are resolved by distributed selection: each round
     counts the values of the key's open interval in ``bins`` equal bins (counts merge on the map side, at most ``bins`` numbers a key and
     quantile leave a task), keeps the bin that holds the rank and stops when a bin is one value wide; 64-bit values need at most
-    ``log_bins(range)`` rounds. The other keys hold a bounded share each and are ranked by a spilling sort within the key.
+    ``log_bins(range)`` rounds. The other keys fit a task each and are ranked by a spilling sort within the key.
     """
     spark = pairs.sparkSession
     stages = stages or Stages(spark, "quantiles")
     rows = stages.put(pairs.filter(F.col("value").isNotNull() & F.col("key").isNotNull()).select("key", F.col("value").cast("long").alias("value")))
     sums = stages.put(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")))
     total = sums.agg(F.sum("n")).collect()[0][0] or 0
-    edge = max(total * heavy_share, SMALL)
-    heavy = sums.filter(F.col("n") > edge).collect()  # at most 1 / heavy_share rows
+    edge = max(total // shuffle_width(spark), SMALL)
+    heavy = sums.filter(F.col("n") > edge).collect()  # fewer than there are shuffle partitions
     names = list(probs)
     rank = lambda p, n: F.greatest(F.lit(1), F.ceil(F.lit(p) * n)).cast("long")
     hot = [r["key"] for r in heavy]
@@ -74,7 +85,7 @@ def exact_quantiles(pairs: DataFrame, probs: dict[str, float], heavy_share: floa
         return hits
     found = _select_heavy(spark, rows.filter(F.col("key").isin(hot)), heavy, probs, bins)
     schema = "key " + dict(rows.dtypes)["key"] + ", n long, " + ", ".join(f"`{c}` long" for c in names)
-    return hits.unionByName(spark.createDataFrame([(r["key"], r["n"], *(found[(r["key"], c)] for c in names)) for r in heavy], schema))
+    return hits.unionByName(small_table(spark, [(r["key"], r["n"], *(found[(r["key"], c)] for c in names)) for r in heavy], schema))
 
 
 def _select_heavy(spark: SparkSession, rows: DataFrame, heavy: list, probs: dict[str, float], bins: int) -> dict:
@@ -93,10 +104,10 @@ def _select_heavy(spark: SparkSession, rows: DataFrame, heavy: list, probs: dict
             break
         table = [(k, c, lo, (hi - lo) // bins + 1, hi) for (k, c), (lo, hi, _) in open_.items()]
         kind = dict(rows.dtypes)["key"]
-        spans = spark.createDataFrame(table, f"k {kind}, q string, lo long, width long, hi long")  # at most 1 / heavy_share * quantiles rows
+        spans = small_table(spark, table, f"k {kind}, q string, lo long, width long, hi long")  # fewer rows than shuffle partitions times quantiles
         hist = rows.join(F.broadcast(spans), (F.col("key") == F.col("k")) & F.col("value").between(F.col("lo"), F.col("hi"))).groupBy("k", "q", F.expr("(CAST(value AS DECIMAL(20)) - lo) DIV width").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
         below = Window.partitionBy("k", "q").orderBy("bin")
-        wanted = spark.createDataFrame([(k, c, rank) for (k, c), (_, _, rank) in open_.items()], f"k {kind}, q string, rank long")
+        wanted = small_table(spark, [(k, c, rank) for (k, c), (_, _, rank) in open_.items()], f"k {kind}, q string, rank long")
         # at most `bins` rows per key and quantile here
         cum = hist.withColumn("upto", F.sum("n").over(below)).join(F.broadcast(wanted), ["k", "q"]).filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
         width = {(k, c): (lo, w, hi) for k, c, lo, w, hi in table}
@@ -130,3 +141,58 @@ def heavy_keys(profile: DataFrame, share: float = 0.01) -> DataFrame:
     """The keys of a profile with at least ``share`` of all distinct (key, value) pairs: key, n_distinct."""
     total = profile.agg(F.sum("n_distinct")).collect()[0][0] or 0  # one number
     return profile.filter((F.col("n_distinct") > 0) & (F.col("n_distinct") >= F.lit(float(total) * share))).select("key", "n_distinct")
+
+
+def values_at_ranks(rows: DataFrame, value: str, ranks: list[int], bins: int = 4096) -> list[int]:
+    """The values of a BIGINT column at the given ranks (1 is the smallest value) in ascending order of all its rows, by distributed selection.
+
+    Each round counts the rows of the open intervals in ``bins`` parts each; counts merge on the map side, so a task hands on at most ``bins``
+    numbers per rank whatever its rows, and no value is gathered. A rank goes on in the part that holds it and is resolved when that is one
+    value wide: 64-bit values need at most six rounds. ``rows`` is read once per round and should be a written table. Null values are ignored;
+    ranks below 1 or above the number of rows are an error.
+    """
+    base = rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("long").alias("v"))
+    lo, hi, n = base.agg(F.min("v"), F.max("v"), F.count("v")).collect()[0]
+    if any(not 1 <= r <= (n or 0) for r in ranks):
+        raise ValueError("no such rank")
+    width, left = 1, {r: r for r in ranks}
+    while ranks and hi // width - lo // width >= bins:
+        width *= bins
+    # the quotient rounded down, which fits 64 bits for every value
+    part = lambda w: F.when(F.col("v") >= 0, F.expr(f"v DIV {w}")).otherwise(F.expr(f"-((-(v + 1)) DIV {w}) - 1"))
+    at: dict[int, int] = dict.fromkeys(ranks, 0)  # the open part of each rank, of the width before
+    before = None
+    while ranks:
+        held = base if before is None else base.filter(part(before).isin(sorted(set(at.values()))))
+        # at most `bins` rows per rank
+        counts = held.groupBy(part(width).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()
+        under: dict[int, list[tuple[int, int]]] = {}
+        for r in sorted(counts, key=lambda r: r["p"]):
+            under.setdefault(0 if before is None else r["p"] * width // before, []).append((r["p"], r["n"]))
+        for r in ranks:
+            for p, k in under[at[r]]:
+                if left[r] <= k:
+                    at[r] = p
+                    break
+                left[r] -= k
+        if width == 1:
+            break
+        before, width = width, width // bins
+    return [at[r] for r in ranks]
+
+
+def heavy_by_selection(links: DataFrame, key: str, value: str, share: float = 0.01) -> DataFrame:
+    """key, n_distinct of the keys with at least ``share`` of all distinct (key, value) pairs whose ends are both non-null.
+
+    A key with that many pairs covers one of the ranks that lie so many pairs apart in the order of keys. Those ranks, ``1 / share`` of them, are
+    resolved by ``values_at_ranks``, and only the keys found there are counted. No key's pairs are gathered; repeated rows count once.
+    """
+    stages = Stages(links.sparkSession, "heavy")
+    base = links.select(F.col(key).cast("long").alias("key"), F.col(value).cast("long").alias("value")).filter("key is not null and value is not null")
+    # one shuffle on both columns, which no hot key can skew; only the keys of the distinct pairs are read again
+    pairs = stages.put(base.groupBy("key", "value").agg(F.count(F.lit(1)).alias("m")).select("key"))
+    n = pairs.count()
+    least = max(1, math.ceil(n * share - 1e-9))
+    found = values_at_ranks(pairs, "key", list(range(least, n + 1, least)))
+    # as few rows as there are ranks
+    return pairs.filter(F.col("key").isin(sorted(set(found)))).groupBy("key").agg(F.count(F.lit(1)).alias("n_distinct")).filter((F.col("n_distinct") >= F.lit(n * share)) & (F.col("n_distinct") > 0))

@@ -33,12 +33,8 @@ def _profiles(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    found = None
-    for relation, profile in _profiles(spark, d):
-        st = Stages(spark, "p3")
-        part = skew.heavy_keys(st.put(profile)).select(F.lit(relation).alias("relation"), F.col("key").alias("node_id"))
-        found = part if found is None else found.unionByName(part)
-    return found
+    part = lambda relation, key, value: skew.heavy_by_selection(read(spark, d, relation), key, value).select(F.lit(relation).alias("relation"), F.col("key").alias("node_id"))
+    return part("edges", "callee", "caller").unionByName(part("refs", "target", "referencer"))
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
