@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import Stages
+from ..session import Stages, small_table
 from .tokens import count_tokens
 
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 7, sizes: DataFrame | N
     # of what has finished by a time, each queue may hold back one document; so behind the time at which the queues have given the budget and
     # their largest documents, nothing fits
     end = _last_time([(r["weight"], r["all_"] * r["repeats"]) for r in per], budget + sum(r["most"] for r in per) + 1)
-    table = docs.sparkSession.createDataFrame([(r["source"], i, r["weight"], r["repeats"], r["all_"]) for i, r in enumerate(per)], "source string, _g long, weight double, repeats int, _all long")
+    table = small_table(docs.sparkSession, [(r["source"], i, r["weight"], r["repeats"], r["all_"]) for i, r in enumerate(per)], "source string, _g long, weight double, repeats int, _all long")
     rows = sizes.filter("tokens > 0").join(F.broadcast(table.select("source", "_g")), "source").select("_g", F.xxhash64(F.lit(seed), "doc_id").alias("_h"), "doc_id", F.col("tokens").cast("long").alias("tokens"))
     queue = running_sums(rows, "_g", ["_h", "doc_id"], "tokens", "_upto", stages).join(F.broadcast(table), "_g")
     turns = F.col("repeats") - 1
