@@ -15,16 +15,21 @@ that the corpus never continues, an open code block or quotation, and code whose
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..extract import js_parser, py_parser, rs_parser, svelte_parser
 from ..extract.base import allow_depth
-from ..functions.columns import log_odds
+from ..operators.skew import hot_counts_of, salted_join
 from ..session import Stages
 from .mixing import source_key
 
@@ -36,8 +41,11 @@ UNKNOWN = 0.6
 LOST = 0.04
 # Marks that are put where a text was cut.
 _MARK = r"(?:\.\.\.|…|\[\.\.\.\]|\[…\]|\[truncated\])$"
-_SEGMENT = r"(?<=[.!?])[ \t]+(?=\S)|\n+"
-_TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+
+
+def log_odds(p: Column) -> Column:
+    """The logarithm of p / (1 - p)."""
+    return F.log(p / (1 - p))
 
 
 def _source(docs: DataFrame) -> Column:
@@ -126,51 +134,30 @@ def length_limits(docs: DataFrame) -> DataFrame:
     return hist.groupBy("source").applyInPandas(fit, "source string, unit string, at long, limit long, posterior double")
 
 
-def _skeleton(c: Column) -> Column:
-    return F.regexp_replace(c, r"\d+", "0")
-
-
-def _with_keys(segments: DataFrame) -> DataFrame:
-    """k1, k2: how a segment begins; end: the class of its last token and, without a full stop, its number of tokens n (25 and more alike)."""
-    t = segments.withColumn("tok", F.regexp_extract_all("seg", F.lit(_TOKEN), F.lit(0)))
-    t = t.withColumn("n", F.least(F.size("tok"), F.lit(25)).cast("long")).withColumn("last", F.element_at("tok", -1))
-    indent = F.when(F.col("seg").rlike(r"^(?: {2}|\t)"), ">").otherwise("")
-    first = _skeleton(F.get("tok", F.lit(0)))
-    second = F.coalesce(_skeleton(F.get("tok", F.lit(1))), F.lit(""))
-    kind = F.when(F.col("last").rlike(r"^\p{N}+$"), "0").when(F.col("last").rlike(r"^[\p{L}\p{N}_]"), "w").otherwise(F.col("last"))
-    marks = F.col("seg").rlike(_MARK)
-    # where a sentence has its stop, its length tells nothing more
-    cls = F.when(marks, F.concat(F.lit("… "), F.col("n").cast("string"))).when(kind.isin(".", "!", "?"), ".").otherwise(F.concat(kind, F.lit(" "), F.col("n").cast("string")))
-    return t.withColumn("k1", F.concat(indent, first)).withColumn("k2", F.concat(indent, first, F.lit(" "), second)).withColumn("end", cls).drop("tok")
-
-
-_LANGUAGES = [py_parser.parse, lambda t: js_parser.parse(t, jsx=True), lambda t: js_parser.parse(t, jsx=True, typed=True), lambda t: js_parser.parse(t, typed=True), rs_parser.parse, svelte_parser.parse]
+_LANGUAGES = {
+    "py": py_parser.parse,
+    "js": lambda t, memo: js_parser.parse(t, jsx=True, memo=memo),
+    "tsx": lambda t, memo: js_parser.parse(t, jsx=True, typed=True, memo=memo),
+    "ts": lambda t, memo: js_parser.parse(t, typed=True, memo=memo),
+    "rs": rs_parser.parse,
+    "svelte": svelte_parser.parse,
+}
+# how a text of code begins, by the language to try first; all are tried unless one accepts
+_FIRST = [(re.compile(r"\s*(?:use \w|pub |fn |#!?\[)", re.ASCII), "rs"), (re.compile(r"\s*<script"), "svelte"), (re.compile(r"\s*(?:def |from \S+ import|\"\"\"|import [\w.]+(?:\n| as ))", re.ASCII), "py")]
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*")
 
 
-def _broken_end(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _broken_end(text: str) -> int:
     """1 where the language that fits a text best fails only at its very end, -1 where a language accepts it, else 0."""
-    allow_depth()
-    for f in frames:
-        out = []
-        for text in f["t"]:
-            best = None
-            for parse in _LANGUAGES:
-                faults = parse(text).faults
-                at = min((a for a, _ in faults), default=None)
-                if at is None:
-                    best = (2, 0)
-                    break
-                best = max(best or (0, 0), (1, at))
-            if best[0] == 2:
-                out.append(-1)
-            else:
-                # the rest behind the first fault of the best language; an unclosed bracket is reported where it opens
-                tail = text[best[1] :].strip()
-                out.append(1 if len(tail) <= 3 or _never_closed(text) else 0)
-        yield pd.DataFrame({"doc_id": f["doc_id"], "broken": out})
-
-
-_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|//[^\n]*|/\*[\s\S]*?\*/|#[^\n]*")
+    first = next((x for rx, x in _FIRST if rx.match(text)), None)
+    reach = 0
+    for name in sorted(_LANGUAGES, key=lambda x: x != first):
+        at = min((a for a, _ in _LANGUAGES[name](text, memo=True).faults), default=None)
+        if at is None:
+            return -1
+        reach = max(reach, at)
+    # the rest behind the first fault of the best language; an unclosed bracket is reported where it opens
+    return 1 if len(text[reach:].strip()) <= 3 or _never_closed(text) else 0
 
 
 def _never_closed(text: str) -> bool:
@@ -181,100 +168,196 @@ def _never_closed(text: str) -> bool:
     return depth > 0
 
 
+_BLANKS = " \t\n\x0b\f\r"
+_CUT = re.compile(rf"(?<=[.!?])[ \t]+(?=[^{_BLANKS}])|\n+")
+_TOKENS = regex.compile(rf"[\p{{L}}\p{{N}}_]+|[^{_BLANKS}\p{{L}}\p{{N}}_]")
+_TOKENS_ASCII = re.compile(rf"[A-Za-z0-9_]+|[^{_BLANKS}A-Za-z0-9_]")
+_WORDY, _NUMERIC = regex.compile(r"[\p{L}\p{N}_]"), regex.compile(r"\p{N}+")
+_DIGITS = re.compile(r"[0-9]+")
+_ENDS = re.compile(_MARK)
+_FENCE = re.compile(r"(?m)^[ ]*```")
+_CODE = re.compile(r"\s*(?:import |from \S+ import|use \w+(?:::|;)|\"\"\"|//|#!?\[|<script|export |pub |function |class |const |def |fn )", re.ASCII)
+_TICKED = re.compile(r"(?m)^```")
+_OPEN, _SMILE = re.compile(r"\([^()]*$"), re.compile(r"[:;]-?\($")
+
+#: Keys that a task counts before it hands them on.
+COUNTED = 200_000
+#: Limits are broadcast up to so many rows; more are joined by a shuffle.
+LIMITS = 100_000
+
+
+@lru_cache(maxsize=100_000)
+def _shape(first: str, second: str) -> tuple[str, str]:
+    f = _DIGITS.sub("0", first)
+    return f, f"{f} {_DIGITS.sub('0', second)}"
+
+
+@lru_cache(maxsize=100_000)
+def _end_kind(last: str) -> str:
+    return "0" if _NUMERIC.fullmatch(last) else "w" if _WORDY.match(last) else last
+
+
+def _keys(seg: str, tok: list[str]) -> tuple[str, str, str, int]:
+    """k1, k2: how a segment begins; the class of its last token and, without a full stop, its number of tokens (25 and more alike); that number."""
+    n = min(len(tok), 25)
+    k1, k2 = _shape(tok[0], tok[1] if len(tok) > 1 else "")
+    if seg.startswith(("  ", "\t")):
+        k1, k2 = ">" + k1, ">" + k2
+    kind = _end_kind(tok[-1])
+    # where a sentence has its stop, its length tells nothing more
+    end = f"… {n}" if kind in ".…]" and _ENDS.search(seg) else "." if kind in (".", "!", "?") else f"{kind} {n}"
+    return k1, k2, end, n
+
+
+def _open_ends(t: str) -> float:
+    """The weight of what stands open at the end of a text: a code block, a quotation, a bracket, half a character."""
+    odd = len(_FENCE.findall(t)) % 2 == 1
+    line = t[t.rfind("\n") + 1 :]
+    w = -6.0 if odd else 0.0
+    if not odd:
+        w -= 3.0 * (line.replace("```", "").count("`") % 2)
+        w -= 2.5 * bool(_OPEN.search(line) and not _SMILE.search(line))
+    return w - 6.0 * t.endswith("�")
+
+
+_DOC, _ENDING, _WORD = 0, 1, 2
+_READ = "part int, doc_id long, source string, k1 string, k2 string, end string, n long, last string, a long, b long, c long, post double, lim long, marked boolean, w_open double, broken int"
+_KINDS = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_()}[k]) for n, k in (x.split() for x in _READ.split(", "))])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of three parts from doc_id, source, text, post, lim.
+
+    ``_DOC``: the last segment of every text with its keys, what stands open there, and how its parse as code ends. ``_ENDING``: how many segments
+    with these keys are known to be complete (a), and of texts that no limit cut are segments (b) and last segments (c). ``_WORD``: how often a word
+    occurs (a), ends segments (b), and ends texts (c). The last two are counts of a part of the texts and are added up later.
+    """
+    allow_depth()
+    endings: dict[tuple, list[int]] = {}
+    vocabulary: Counter = Counter()
+    tails: dict[str, list[int]] = {}
+
+    def out(part: int, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+        cols = dict(zip(names, zip(*rows))) if rows else {}
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(rows), pa.int32()) if f.name == "part" else pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(rows), f.type) for f in _KINDS], schema=_KINDS)
+
+    def counted() -> Iterator[pa.RecordBatch]:
+        yield out(_ENDING, [(*k, *v) for k, v in endings.items()], ["source", "k1", "k2", "end", "a", "b", "c"])
+        yield out(_WORD, [(k, n, *tails.get(k, (0, 0))) for k, n in vocabulary.items()], ["last", "a", "b", "c"])
+        endings.clear()
+        vocabulary.clear()
+        tails.clear()
+
+    for batch in batches:
+        docs = []
+        for doc_id, source, text, post, lim in zip(*(c.to_pylist() for c in batch.columns)):
+            t = text.replace("\r\n", "\n").replace("\r", "\n").rstrip(_BLANKS)
+            # a mark of omission belongs to the cut where a limit makes cuts, and to the text elsewhere
+            m = _ENDS.search(t) if (post or 0.0) > 0.3 else None
+            if m:
+                t = t[: m.start()]
+            cut = (post or 0.0) > 0.5
+            find = (_TOKENS_ASCII if t.isascii() else _TOKENS).findall
+            segs = [s for s in _CUT.split(t) if s.strip(" ")]
+            for i, seg in enumerate(segs):
+                tok = find(seg)
+                if not tok:
+                    continue
+                final = i == len(segs) - 1
+                k1, k2, end, n = _keys(seg, tok)
+                e = endings.setdefault((source, k1, k2, end), [0, 0, 0])
+                # segments that are followed by more text are complete; last ones of texts that no limit cut are so but for few
+                whole = not (final and cut)
+                e[0] += whole
+                if not cut:
+                    e[1] += 1
+                    e[2] += final
+                vocabulary.update(tok)
+                if whole and end[0] == "w" and end[1:2] == " ":
+                    v = tails.setdefault(tok[-1], [0, 0])
+                    v[0] += 1
+                    v[1] += final
+                if final:
+                    code = _CODE.match(t) and not _TICKED.search(t)
+                    docs.append((doc_id, source, k1, k2, end, n, tok[-1], post, lim, m is not None, _open_ends(t), _broken_end(t) if code else None))
+            if len(endings) + len(vocabulary) > COUNTED:
+                yield from counted()
+        yield out(_DOC, docs, ["doc_id", "source", "k1", "k2", "end", "n", "last", "post", "lim", "marked", "w_open", "broken"])
+    yield from counted()
+
+
+def _evidence(docs: DataFrame, stages: Stages) -> DataFrame:
+    """The rows of ``_read`` of every non-blank text."""
+    base = docs.filter(F.col("text").rlike(r"\S")).select("doc_id", _source(docs).alias("source"), "text", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+    limits = stages.put(length_limits(docs).filter("source <> ''"))
+    # a text of unknown source may come from any: the limits of all sources are its candidates
+    anyone = limits.filter("at = limit and posterior > 0.9").groupBy("unit", "at").agg(F.max("limit").alias("limit"))
+    limits = limits.unionByName(anyone.select(F.lit("").alias("source"), "unit", "at", "limit", F.lit(UNKNOWN).alias("posterior")))
+    few = limits.count() <= LIMITS
+    for unit in ("chars", "bytes"):
+        lim = limits.filter(F.col("unit") == unit).groupBy("source", "at").agg(F.max(F.struct("posterior", "limit")).alias(f"l_{unit}")).withColumnRenamed("at", unit)
+        base = base.join(F.broadcast(lim) if few else lim, ["source", unit], "left")
+    lim = F.greatest("l_chars", "l_bytes")
+    return stages.put(base.select("doc_id", "source", "text", lim["posterior"].alias("post"), lim["limit"].alias("lim")).mapInArrow(_read, _READ), split="part")
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, source, posterior (of having lost its end), limit (the field limit it seems cut at, or null) for every non-blank text.
 
-    ``doc_id`` must be unique. Null, empty and blank texts have lost nothing that could be told and are left out; a null source is a source of
-    its own. Sources count alike whatever the case, outer spaces or hyphens.
+    Null, empty and blank texts have lost nothing that could be told and are left out; a null source is a source of its own. Sources count alike
+    whatever the case, outer spaces or hyphens. Texts are read once, and only counts and a row of keys per text are shuffled.
     """
     stages = Stages(docs.sparkSession, "truncation")
-    base = docs.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select(
-        "doc_id", _source(docs).alias("source"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\s+$", "").alias("t0")
-    )
-    limits = length_limits(docs)
-    # a text of unknown source may come from any: the limits of all sources are its candidates
-    anyone = limits.filter("at = limit and posterior > 0.9 and source <> ''").groupBy("unit", "at").agg(F.max("limit").alias("limit"))
-    limits = stages.put(limits.filter("source <> ''").unionByName(anyone.select(F.lit("").alias("source"), "unit", "at", "limit", F.lit(UNKNOWN).alias("posterior"))))
-    for unit in ("chars", "bytes"):
-        lim = limits.filter(F.col("unit") == unit).groupBy("source", "at").agg(F.max(F.struct("posterior", "limit")).alias(f"l_{unit}"))
-        base = base.join(lim.withColumnRenamed("at", unit), ["source", unit], "left")
-    base = base.withColumn("lim", F.greatest("l_chars", "l_bytes")).drop("l_chars", "l_bytes")
-    # a mark of omission belongs to the cut where a limit makes cuts, and to the text elsewhere
-    near = F.coalesce(F.col("lim.posterior"), F.lit(0.0)) > 0.3
-    base = base.withColumn("mark", F.when(near, F.regexp_extract("t0", _MARK, 0)).otherwise("")).withColumn("t", F.when(near, F.regexp_replace("t0", _MARK, "")).otherwise(F.col("t0"))).drop("t0")
-
-    parts = F.split("t", _SEGMENT)
-    rows = stages.put(base.select("*", F.filter(parts, lambda s: F.trim(s) != "").alias("segs")))
-    segs = rows.select("doc_id", "source", (F.col("lim").isNotNull() & (F.col("lim.posterior") > 0.5)).alias("cut"), F.size("segs").alias("m"), F.posexplode("segs").alias("pos", "seg"))
-    segs = stages.put(_with_keys(segs.withColumn("final", F.col("pos") == F.col("m") - 1).drop("pos", "m")).filter("n > 0"))
-    # segments that are followed by more text are complete; last ones of texts that no limit cut are so but for few
-    whole = segs.filter("not final or not cut").select("k1", "k2", "end", "n", "final", "source", "last")
-    inside = segs.filter("not final")
-    by = lambda *k: whole.groupBy(*k).agg(F.count(F.lit(1)).alias("c"))
-    last = segs.filter("final").select("doc_id", "k1", "k2", "end", "n", "last")
-    n_all = whole.count()
-    alpha = 4.0
-    p = rows.select("doc_id", "source", "lim", "mark", "t").join(last, "doc_id")
-    marked = F.col("mark") != ""
-    tail_mark = F.col("end").startswith("… ")
-    # counts of each ending: of all texts, of the source, and of the segments that begin alike
-    p = p.join(by("end").withColumnRenamed("c", "c_any"), "end", "left").join(by("source", "end").withColumnRenamed("c", "c_src"), ["source", "end"], "left").join(by("source").withColumnRenamed("c", "t_src"), "source", "left")
-    own = F.when(F.coalesce(F.col("lim.posterior"), F.lit(0.0)) > 0.5, 0).otherwise(1)  # a text's own last segment is among the counts
+    read = _evidence(docs, stages)
+    p = read.filter(F.col("part") == _DOC).select("doc_id", "source", "k1", "k2", "end", "n", "last", "post", "lim", "marked", "w_open", "broken")
+    endings, words = read.filter(F.col("part") == _ENDING), read.filter(F.col("part") == _WORD)
+    sep = lambda *c: F.concat_ws("\x01", *c)
+    p = p.withColumns({"j_s": sep("source", "end"), "j_1": sep("k1", "end"), "j_2": sep("k2", "end"), "j_p": sep("source", "k1")})
+    hot = hot_counts_of(p, ["j_s", "j_1", "j_2", "j_p", "last"])
+    total = lambda c, *by: F.sum(c).over(Window.partitionBy(*by))
+
+    # counts of each ending: of all texts, of the source, and of the segments that begin alike; the windows run over sums, a row per key and ending
+    of_source = endings.groupBy("source", "end").agg(F.sum("a").alias("c_src"), F.sum("b").alias("b"), F.sum("c").alias("c"))
+    of_source = of_source.select(sep("source", "end").alias("r_s"), "c_src", total("c_src", "end").alias("c_any"), total("c_src", "source").alias("t_src"), total("b", "source").alias("s_n"), total("c", "source").alias("s_f"))
+    n_all = endings.agg(F.sum("a")).collect()[0][0] or 0
+    p = salted_join(p, of_source, "j_s", "r_s", F.col("doc_id"), "left", hot["j_s"]).drop("j_s", "r_s")
+    for k, j in (("k1", "j_1"), ("k2", "j_2")):
+        alike = endings.groupBy(k, "end").agg(F.sum("a").alias(f"c_{k}")).select(sep(k, "end").alias("r"), f"c_{k}", total(f"c_{k}", k).alias(f"t_{k}"))
+        p = salted_join(p, alike, j, "r", F.col("doc_id"), "left", hot[j]).drop(j, "r")
+    # which segments end texts of a source at all (an inner line of code does not)
+    places = endings.groupBy("source", "k1").agg(F.sum("b").alias("s_all"), F.sum("c").alias("s_fin")).select(sep("source", "k1").alias("r"), "s_all", "s_fin")
+    p = salted_join(p, places, "j_p", "r", F.col("doc_id"), "left", hot["j_p"]).drop("j_p", "r")
+    # last words: how often the corpus has them at all, and how often at the end of a segment
+    seen = words.groupBy("last").agg(F.sum("a").alias("v"), F.sum("b").alias("tails"), F.sum("c").alias("finals")).withColumnRenamed("last", "r")
+    p = salted_join(p, seen, "last", "r", F.col("doc_id"), "left", hot["last"]).drop("r")
+
+    at_limit = F.coalesce(F.col("post"), F.lit(0.0))
+    own = F.when(at_limit > 0.5, 0).otherwise(1)  # a text's own last segment is among the counts
     less = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)) - own, F.lit(0))
+    alpha = 4.0
     p = p.withColumn("p_any", (less("c_any") + 0.5) / (n_all + 50.0)).withColumn("p_src", (less("c_src") + 20 * F.col("p_any")) / (less("t_src") + 20.0))
     for k in ("k1", "k2"):
-        p = p.join(by(k, "end").withColumnRenamed("c", f"c_{k}"), [k, "end"], "left").join(by(k).withColumnRenamed("c", f"t_{k}"), k, "left")
         p = p.withColumn(f"p_{k}", (less(f"c_{k}") + alpha * F.col("p_src")) / (less(f"t_{k}") + alpha))
     # what a cut at a random character leaves: mostly words, after any number of tokens
     kind = F.substring("end", 1, 1)
     chance = F.when(kind == "w", 0.85 / 14).when(kind == "0", 0.05 / 14).when(F.col("end") == ".", 0.015).otherwise(0.03 / 14)
-    p = p.withColumn("chance", chance)
     clip = lambda x, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-    p = p.withColumn("w_end", clip(F.least(F.log(F.col("p_k1") / F.col("chance")), F.log(F.col("p_k2") / F.col("chance"))), -6.5, 5.0))
+    w_end = clip(F.least(F.log(F.col("p_k1") / chance), F.log(F.col("p_k2") / chance)), -6.5, 5.0)
     # an ending that many texts have word for word but for a word or number is a formula of its own
     formula = less("c_k2") >= 5
-
-    # last words: how often the corpus has them at all, and how often at the end of a segment
-    words = segs.select("final", "cut", "last", F.explode(F.regexp_extract_all("seg", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("word"))
-    seen = words.groupBy("word").agg(F.count(F.lit(1)).alias("v"))
-    tail = whole.filter("end like 'w %'").groupBy("last").agg(F.count(F.lit(1)).alias("tails"), F.count_if("final").alias("finals"))
-    p = p.join(seen.withColumnRenamed("word", "last"), "last", "left").join(tail, "last", "left")
-    inner = F.coalesce("v", F.lit(0)) - F.coalesce("finals", F.lit(0))
+    inner = F.col("v") - F.col("finals")
     name = F.col("last").rlike(r"_|\d|\p{Ll}\p{Lu}")
-    rate = clip(F.log((F.coalesce("tails", F.lit(0)) + 0.3) / (F.col("v") + 10.0) / 0.02), -3.0, 0.5)
-    fragment = F.when(kind != "w", 0.0).when(inner <= 0, F.when(formula, 0.0).when(name, -0.7).otherwise(-4.0)).otherwise(rate)
-    p = p.withColumn("w_word", fragment)
-
-    # which segments end texts of a source at all (an inner line of code does not)
-    src = segs.filter("not cut").groupBy("source", "k1").agg(F.count(F.lit(1)).alias("s_all"), F.count_if("final").alias("s_fin"))
-    tot = segs.filter("not cut").groupBy("source").agg(F.count(F.lit(1)).alias("s_n"), F.count_if("final").alias("s_f"))
-    p = p.join(src, ["source", "k1"], "left").join(tot, "source", "left")
-    lift = F.log(((F.coalesce("s_fin", F.lit(0)) + 0.5) / (F.coalesce("s_f", F.lit(0)) + 1)) / ((F.coalesce("s_all", F.lit(0)) + 1) / (F.coalesce("s_n", F.lit(0)) + 2)))
-    p = p.withColumn("w_place", F.when(F.coalesce("s_all", F.lit(0)) < 8, 0.0).otherwise(clip(lift, -3.0, 1.5)))
-
-    ticks = lambda c: F.length(c) - F.length(F.regexp_replace(c, "`", ""))
-    fences = F.size(F.split("t", r"(?m)^[ ]*```")) - 1
-    opened = F.when(fences % 2 == 1, -6.0).otherwise(0.0)
-    last_line = F.element_at(F.split("t", r"\n"), -1)
-    quoted = F.when((fences % 2 == 0) & (ticks(F.regexp_replace(last_line, "```", "")) % 2 == 1), -3.0).otherwise(0.0)
-    bracket = F.when((fences % 2 == 0) & last_line.rlike(r"\([^()]*$") & ~last_line.rlike(r"[:;]-?\($"), -2.5).otherwise(0.0)
-    broken_char = F.when(F.col("t").endswith("�"), -6.0).otherwise(0.0)
-    p = p.withColumn("w_open", opened + quoted + bracket + broken_char)
-
-    # whole texts of code
-    code = F.col("t").rlike(r"^\s*(?:import |from \S+ import|use \w+(?:::|;)|\"\"\"|//|#!?\[|<script|export |pub |function |class |const |def |fn )") & ~F.col("t").rlike(r"(?m)^```")
-    p = stages.put(p.withColumn("code", code))
-    broken = p.filter("code").select("doc_id", "t").mapInPandas(_broken_end, "doc_id long, broken int").withColumnRenamed("doc_id", "b_id")
-    p = p.join(broken, F.col("doc_id") == F.col("b_id"), "left")
+    rate = clip(F.log((F.col("tails") + 0.3) / (F.col("v") + 10.0) / 0.02), -3.0, 0.5)
+    w_word = F.when(kind != "w", 0.0).when(inner <= 0, F.when(formula, 0.0).when(name, -0.7).otherwise(-4.0)).otherwise(rate)
+    lift = F.log(((F.col("s_fin") + 0.5) / (F.col("s_f") + 1)) / ((F.col("s_all") + 1) / (F.col("s_n") + 2)))
+    w_place = F.when(F.col("s_all") < 8, 0.0).otherwise(clip(lift, -3.0, 1.5))
     w_code = F.when(F.col("broken") == 1, -6.0).when(F.col("broken") == -1, 1.0).otherwise(0.0)
-
-    at_limit = F.coalesce(F.col("lim.posterior"), F.lit(0.0))
-    prior = F.greatest(F.lit(LOST), F.least(at_limit, F.lit(0.9995)))
     # a mark right at a limit is how that limit cuts
-    w_mark = F.when(marked & (at_limit > 0.3), -6.0).otherwise(0.0)
-    evidence = F.col("w_end") + F.col("w_word") + F.col("w_place") + F.col("w_open") + w_code + w_mark
-    odds = log_odds(prior) - evidence
-    return p.select("doc_id", "source", (1 / (1 + F.exp(-odds))).alias("posterior"), F.when(at_limit > 0.3, F.col("lim.limit")).alias("limit"), "w_end", "w_word", "w_place", "w_open", w_code.alias("w_code"), w_mark.alias("w_mark"), prior.alias("prior"))
+    w_mark = F.when(F.col("marked"), -6.0).otherwise(0.0)
+    prior = F.greatest(F.lit(LOST), F.least(at_limit, F.lit(0.9995)))
+    p = p.withColumns({"w_end": w_end, "w_word": w_word, "w_place": w_place, "w_code": w_code, "w_mark": w_mark, "prior": prior})
+    odds = log_odds(F.col("prior")) - (F.col("w_end") + F.col("w_word") + F.col("w_place") + F.col("w_open") + F.col("w_code") + F.col("w_mark"))
+    return p.select("doc_id", "source", (1 / (1 + F.exp(-odds))).alias("posterior"), F.when(at_limit > 0.3, F.col("lim")).alias("limit"), "w_end", "w_word", "w_place", "w_open", "w_code", "w_mark", "prior")
 
 
 def truncated(docs: DataFrame, least: float = 0.5) -> DataFrame:
