@@ -29,10 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 RULE_TOKENS, RULE_USES = 6, 4
 
 
-def _winners(prio: np.ndarray, same: np.ndarray) -> np.ndarray:
-    """Pairs that beat both pairs they overlap; among equals in a row every other one from the left.
+def _winners(prio: np.ndarray) -> np.ndarray:
+    """Pairs that beat both pairs they overlap; among equals in a row (as in aaaa) every other one from the left.
 
-    ``prio[i]`` is the priority of the pair (i, i+1), 0 where it may not be replaced; ``same[i]`` says that pair i+1 equals pair i (as in aaaa).
+    ``prio[i]`` is the priority of the pair (i, i+1), 0 where it may not be replaced.
     """
     n = len(prio)
     left = np.zeros(n, prio.dtype)
@@ -69,11 +69,14 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        ok = file[:-1] == file[1:]
-        # pairs are numbered per file
-        pair = (file[:-1] * nxt + seq[:-1]) * nxt + seq[1:]
+        # pairs are numbered per file, and none reaches from one file into the next
+        ok = np.flatnonzero(file[:-1] == file[1:])
+        if not len(ok):
+            break
+        f, x, y = file[ok], seq[ok], seq[ok + 1]
+        pair = (f * nxt + x) * nxt + y
         if n_files * nxt * nxt > 1 << 62:
-            pair = mix(mix(file[:-1] * np.int64(0x9E3779B9) + seq[:-1]) + seq[1:].astype(np.uint64)).view(np.int64)
+            pair = mix(mix(f * np.int64(0x9E3779B9) + x) + y.astype(np.uint64)).view(np.int64)
         order = np.argsort(pair, kind="stable")
         sp = pair[order]
         edge = np.empty(len(sp), bool)
@@ -81,12 +84,18 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
         np.not_equal(sp[1:], sp[:-1], out=edge[1:])
         number = np.cumsum(edge) - 1
         counts = np.bincount(number)
-        ident = np.empty(len(sp), np.int64)
-        ident[order] = number
-        freq = np.where(ok & (counts[ident] > 1), counts[ident], 0)
-        # ties between different pairs fall by pair number, so that equal stretches are cut alike
-        prio = freq * np.int64(len(counts) + 1) + np.where(freq > 0, ident, 0)
-        win = _winners(prio, None)
+        ident = np.zeros(len(seq) - 1, np.int64)
+        ident[ok[order]] = number
+        freq = np.zeros(len(seq) - 1, np.int64)
+        freq[ok] = np.where(counts[ident[ok]] > 1, counts[ident[ok]], 0)
+        # ties between different pairs fall by a hash of the place in the file where each comes first, so that neighbours' turns come in few rounds
+        # and other files at hand do not matter
+        begins = np.append(0, np.flatnonzero(file[1:] != file[:-1]) + 1)
+        first = ok[order[edge]]
+        place = first - begins[np.searchsorted(begins, first, "right") - 1]
+        turn = (mix(place.astype(np.uint64) + np.uint64(1)) >> np.uint64(34)).astype(np.int64)
+        prio = np.where(freq > 0, (freq << 30) + turn[ident], 0)
+        win = _winners(prio)
         # a pair that won in one place only (the others overlap better pairs) makes no rule
         if not win.any():
             break
@@ -141,7 +150,7 @@ def anchored(hashes: np.ndarray, files: np.ndarray, least: int = 12, rounds: int
             break
         pair = mix(seq[:-1] * np.uint64(0x9E3779B97F4A7C15) + mix(seq[1:]))
         prio = np.where(ok, (pair >> np.uint64(2)).astype(np.int64) | 1, 0)
-        at = np.flatnonzero(_winners(prio, None))
+        at = np.flatnonzero(_winners(prio))
         if not len(at):
             break
         seq[at] = pair[at]

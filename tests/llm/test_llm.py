@@ -3,6 +3,7 @@
 import base64
 import random
 import re
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -106,11 +107,55 @@ def test_origins(spark):
     prose = "x = '" + "The fix moves the check from one place to another and drops the old one. " * 2 + "It is not clear why the caller does that twice; please look at the notes on it again." + "'\n"
     rows = [("a/x", "src/m.py", code(rng)), ("a/x", "v/lib.py", lib), ("b/y", "w/lib.py", patched), ("a/x", "src/blob.py", blob), ("a/x", "t.py", table), ("a/x", "gen.py", "class A:\n" + made), ("a/x", "p.js", packed), ("a/x", "told.py", "# Code generated by tool from x.proto. DO NOT EDIT.\n" + code(rng)), ("a/x", "kept.py", "# this used to be auto-generated, now kept by hand\n" + code(rng)), ("a/x", "string.py", "HEADER = '@generated'\n" + code(rng)), ("a/x", "prose.py", code(rng, 1) + prose), ("a/x", "empty.py", ""), (None, "null.py", None), ("a/x", "same.py", lib), ("a/x", "list.py", "LIMIT = [1, 2, 3, 4]\n")]
     got = {r.file_id: r.origin for r in handwritten.classify(files(spark, rows)).collect()}
-    want = ["hand", "copy", "copy", "data", "data", "tool", "packed", "tool", "hand", "hand", "hand", "hand", "hand", "copy", "hand"]
+    # a remark that no other file bears out is no evidence
+    want = ["hand", "copy", "copy", "data", "data", "tool", "packed", "hand", "hand", "hand", "hand", "hand", "hand", "copy", "hand"]
     assert [got[i] for i in range(len(rows))] == want
     assert handwritten.not_handwritten(files(spark, [])).count() == 0
 
 
+def test_remarks_are_learned_from_files_that_fold(spark):
+    """What stands in the comments of files that fold marks the others that say it; what hand-written files say marks none."""
+    rng = random.Random(12)
+    made = lambda i: "\n".join(f"    def get_{'abcdefghij'[k % 10]}{k}{i}(self):\n        return self.slots[{k}]\n" for k in range(40))
+    rows = [(f"r{i % 6}", f"a{i}.py", f"# written by stubmaker {i} from the idl, keep out\nclass A:\n{made(i)}") for i in range(40)]
+    rows += [(f"r{i % 6}", f"b{i}.py", f"# written by stubmaker {i} from the idl, keep out\n{code(rng, 7)}") for i in range(20)]
+    rows += [(f"r{i % 6}", f"c{i}.py", f"# this module was code generated by hand, so do not edit it lightly\n{code(rng, 7)}") for i in range(30)]
+    rows += [(f"r{i % 6}", f"d{i}.py", f"# Taken verbatim from the spec table\n{code(rng, 7)}") for i in range(10)]
+    rows += [(f"r{i % 6}", f"e{i}.py", code(rng, 7)) for i in range(150)] + [("r1", "f.py", "x = 1  # code generated by hand, do not edit")]
+    got = {r.file_id: r.origin for r in handwritten.classify(files(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == ["tool"] * 60 + ["hand"] * 191
+
+
+def test_the_author_is_no_copy(spark):
+    """The author's own file is told from copies in folders of vendored code, and copies name the file that was first."""
+    rng = random.Random(13)
+    lib, other = code(rng, 10), code(rng, 10)
+    schema = FILES + ", modified_at timestamp"
+    rows = [("me/lib", "src/lib.py", lib, 1), ("a/x", "vendor/lib/lib.py", lib, 5), ("b/y", "app/node_modules/lib.py", lib + "\ny = 2\n", 6), ("c/z", "src/o.py", other, 9), ("d/w", "src/p.py", other, 8), ("me/lib", "src/mine.py", code(rng), 2)]
+    df = spark.createDataFrame([(i, r, p, c, None, 0, "x", datetime(2025, 1, t)) for i, (r, p, c, t) in enumerate(rows)], schema)
+    got = {r.file_id: (r.origin, r.source_id) for r in handwritten.classify(df).collect()}
+    assert got == {0: ("hand", 0), 1: ("copy", 0), 2: ("copy", 0), 3: ("copy", 4), 4: ("copy", 4), 5: ("hand", None)}
+
+
+def test_a_grammar_does_not_depend_on_other_files():
+    rng = random.Random(14)
+    for _ in range(60):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(2, 60))] for _ in range(2))
+        both = grammar.repair(np.array(a + b), np.array([0] * len(a) + [1] * len(b)), 2)
+        for i, x in enumerate((a, b)):
+            alone = grammar.repair(np.array(x) + 7, np.zeros(len(x), int), 1)
+            assert [v[i] for v in both] == [v[0] for v in alone]
+
+
+def test_short_names_alone_are_not_packed(spark):
+    """Long names elsewhere or plain layout do not matter: the grammar of the characters against that of the tokens decides."""
+    rng = random.Random(15)
+    packed = ";".join(f"function {a}{i}(a,b){{return a?b.{a}(a):{i}}}" for i, a in enumerate("qwertzuiopasdfg")) * 2
+    few = "i = 1\nj = 2\n"
+    got = {r.file_id: (r.origin, r.spelled) for r in handwritten.classify(files(spark, [("r", "a.js", packed), ("r", "b.py", few), ("r", "c.py", code(rng))])).collect()}
+    assert got[0][0] == "packed" and got[0][1] < handwritten.SPELLED and got[1] == ("hand", None) and got[2] == ("hand", None)
+
+
 def test_long_blobs(spark, monkeypatch):
     """Random literals are data at every length and with every alphabet, and prose at none; also in a line longer than a piece."""
     rng = random.Random(8)
