@@ -66,18 +66,20 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
     size = np.ones(len(seq), np.int64)
     reuse = np.zeros(n_files)
     nxt = int(seq.max(initial=0)) + 1
+    # whether the pair (i, i+1) may repeat: one that stands alone does so until one of its symbols is replaced
+    live = np.ones(len(seq), bool)
     for _ in range(rounds):
         if len(seq) < 2:
             break
         # pairs are numbered per file, and none reaches from one file into the next
-        ok = np.flatnonzero(file[:-1] == file[1:])
+        ok = np.flatnonzero(live[:-1] & (file[:-1] == file[1:]))
         if not len(ok):
             break
         f, x, y = file[ok], seq[ok], seq[ok + 1]
         pair = (f * nxt + x) * nxt + y
         if n_files * nxt * nxt > 1 << 62:
             pair = mix(mix(f * np.int64(0x9E3779B9) + x) + y.astype(np.uint64)).view(np.int64)
-        order = np.argsort(pair, kind="stable")
+        order = np.argsort(pair)
         sp = pair[order]
         edge = np.empty(len(sp), bool)
         edge[0] = True
@@ -91,7 +93,7 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
         # ties between different pairs fall by a hash of the place in the file where each comes first, so that neighbours' turns come in few rounds
         # and other files at hand do not matter
         begins = np.append(0, np.flatnonzero(file[1:] != file[:-1]) + 1)
-        first = ok[order[edge]]
+        first = np.minimum.reduceat(ok[order], np.flatnonzero(edge))
         place = first - begins[np.searchsorted(begins, first, "right") - 1]
         turn = (mix(place.astype(np.uint64) + np.uint64(1)) >> np.uint64(34)).astype(np.int64)
         prio = np.where(freq > 0, (freq << 30) + turn[ident], 0)
@@ -103,9 +105,9 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
         win &= won[ident] > 1
         if not win.any():
             break
-        names = np.unique(ident[win])
         at = np.flatnonzero(win)
-        one = at[np.unique(ident[at], return_index=True)[1]]  # one place of each new rule
+        names, one = np.unique(ident[at], return_index=True)
+        one = at[one]  # one place of each new rule
         rules += np.bincount(file[one], minlength=n_files)
         grown = size[one] + size[one + 1]
         uses = won[ident[one]]
@@ -118,18 +120,20 @@ def repair(tokens: np.ndarray, files: np.ndarray, n_files: int, rounds: int = 40
         size[at] += size[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, file, size = seq[keep], file[keep], size[keep]
+        changed = np.zeros(len(seq), bool)
+        changed[at] = True
+        live = np.append(freq > 0, False)[keep]
+        seq, file, size, changed = seq[keep], file[keep], size[keep], changed[keep]
+        live |= changed
+        live[:-1] |= changed[1:]
         nxt += len(names)
-        # symbols are renumbered to stay small
-        u, seq = np.unique(seq, return_inverse=True)
-        nxt = len(u)
         # files that did not change are done
         now = np.bincount(file, minlength=n_files)
         active &= (now != length) & (now > 0)
         length = np.where(now > 0, now, length)
         stay = active[file]
         if not stay.all():
-            seq, file, size = seq[stay], file[stay], size[stay]
+            seq, file, size, live = seq[stay], file[stay], size[stay], live[stay]
     return length, rules, reuse
 
 
