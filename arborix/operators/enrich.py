@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import normalize_path
-from .graph import attach_heat, callers
+from ..session import Stages, written
+from .graph import callers, describe
 from .intervals import enclosing
+from .skew import salted_join
 
 #: Entries shown per section unless told otherwise.
 MAX_CONTEXT = 5
@@ -16,17 +18,18 @@ MAX_CONTEXT = 5
 
 def caller_info(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, heats: DataFrame, depth: int = 1) -> DataFrame:
     """seed, file, function, is_test, line, depth, heat, conditions of every caller; line is where the caller is defined."""
-    n = nodes.select(F.col("id").alias("_n"), "file", F.col("name").alias("function"), "is_test", "line")
     rows = callers(seeds, edges, depth)
-    return attach_heat(rows.join(n, F.col("caller") == F.col("_n")).drop("_n"), "caller", heats).select("seed", "caller", "edge_id", "file", "function", "is_test", "line", "depth", "heat", "conditions")
+    return describe(rows, "caller", nodes, heats, "edge_id").select("seed", "caller", "edge_id", "file", "function", "is_test", "line", "depth", "heat", "conditions")
 
 
 def reference_info(seeds: DataFrame, nodes: DataFrame, refs: DataFrame, heats: DataFrame) -> DataFrame:
     """seed, file, function, is_test, line, heat, context, ref_id of every reference to a seed; one function may stand several times."""
-    n = nodes.select(F.col("id").alias("_n"), "file", F.col("name").alias("function"), "is_test", "line")
+    stages = Stages(refs.sparkSession, "references")
     s = seeds.select(F.col("seed").alias("seed")).distinct()
-    rows = refs.join(s, F.col("target") == F.col("seed")).select("seed", "referencer", "ref_id", "context").join(n, F.col("referencer") == F.col("_n")).drop("_n")
-    return attach_heat(rows, "referencer", heats).select("seed", "referencer", "ref_id", "file", "function", "is_test", "line", "heat", "context")
+    links = refs.select("ref_id", "referencer", "target", "context")
+    links = links if written(refs) else stages.put(links)
+    rows = stages.put(salted_join(links, s, "target", "seed", F.col("ref_id"), "inner").select("seed", "referencer", "ref_id", "context"))
+    return describe(rows, "referencer", nodes, heats, "ref_id").select("seed", "referencer", "ref_id", "file", "function", "is_test", "line", "heat", "context")
 
 
 def ranked(rows: DataFrame, order: list, limit: int) -> DataFrame:

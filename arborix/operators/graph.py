@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.paths import language_ordinal
-from ..session import Stages, small_table
+from ..session import Stages, small_table, written
 from .resolve import resolve
-from .skew import salted_join
+from .skew import hot_counts, salted_join
 
 MAX_DEPTH, MAX_PATHS = 10, 100_000
 
@@ -111,24 +111,26 @@ def callers(seeds: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
     """
     stages = Stages(seeds.sparkSession, "callers")
     into = edges.select(F.col("callee").alias("_to"), F.col("caller").alias("c"), "edge_id", "conditions")
-    front = stages.put(seeds.select(F.col("seed").cast("long").alias("seed")).filter("seed is not null").distinct().withColumn("at", F.col("seed")).withColumn("rank", F.lit(0).cast("long")))
-    seen = front.select("seed", F.col("at").alias("v"))
+    if not written(edges):
+        into = stages.put(into)
+    hot = hot_counts(into, "_to")
+    # the place in the order is the edges of the path from the seed, compared from the first: no numbers have to be dealt out within a seed
+    front = stages.put(seeds.select(F.col("seed").cast("long").alias("seed")).filter("seed is not null").distinct().withColumns({"at": F.col("seed"), "place": F.array().cast("array<bigint>")}))
+    seen = front.select(F.col("seed").alias("s"), F.col("at").alias("v"))
     out = None
     for level in range(1, depth + 1):
-        # a hot callee's edges are spread; the frontier is the smaller side and unique per (seed, at)
-        step = front.join(into, F.col("at") == F.col("_to"))
-        fresh = step.join(seen, (step["seed"] == seen["seed"]) & (step["c"] == seen["v"]), "left_anti")
-        first = fresh.groupBy("seed", "c").agg(F.min(F.struct("rank", "edge_id", "conditions")).alias("b")).select("seed", F.col("c").alias("at"), F.col("b.rank").alias("parent"), F.col("b.edge_id").alias("edge_id"), F.col("b.conditions").alias("conditions"))
-        if level < depth:
-            first = first.withColumn("rank", F.row_number().over(Window.partitionBy("seed").orderBy("parent", "edge_id")).cast("long"))
+        # a hot callee's edges are spread, and its few entries of the front repeated
+        step = salted_join(into, front, "_to", "at", F.col("edge_id"), "inner", hot)
+        fresh = step.join(seen, (step["seed"] == seen["s"]) & (step["c"] == seen["v"]), "left_anti")
+        first = fresh.groupBy("seed", "c").agg(F.min(F.struct("place", "edge_id", "conditions")).alias("b")).select("seed", F.col("c").alias("at"), F.concat("b.place", F.array("b.edge_id")).alias("place"), F.col("b.conditions").alias("conditions"))
         first = stages.put(first)
-        rows = first.select("seed", F.col("at").alias("caller"), F.lit(level).cast("long").alias("depth"), "edge_id", "conditions")
+        rows = first.select("seed", F.col("at").alias("caller"), F.lit(level).cast("long").alias("depth"), F.element_at("place", -1).alias("edge_id"), "conditions")
         out = rows if out is None else out.unionByName(rows)
         if level < depth:
             if first.isEmpty():
                 break
-            front = first.select("seed", "at", "rank")
-            seen = seen.unionByName(front.select("seed", F.col("at").alias("v")))
+            front = first.select("seed", "at", "place")
+            seen = seen.unionByName(front.select(F.col("seed").alias("s"), F.col("at").alias("v")))
     if out is None:
         return small_table(seeds.sparkSession, [], "seed long, caller long, depth long, edge_id long, conditions array<string>")
     return out
@@ -168,7 +170,11 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None =
     return numbered if max_paths is None else numbered.filter(F.col("path_id") < max_paths)
 
 
-def attach_heat(rows: DataFrame, key: str, heats: DataFrame) -> DataFrame:
-    """``rows`` with the heat of the function in ``key``, 0 where it has none."""
-    h = heats.select(F.col("id").alias("_h"), "heat")
-    return salted_join(rows, h, key, "_h", F.struct(*[F.col(c) for c in rows.columns if not c.startswith("cond")])).drop("_h").withColumn("heat", F.coalesce("heat", F.lit(0)))
+def describe(rows: DataFrame, key: str, nodes: DataFrame, heats: DataFrame, spread: str) -> DataFrame:
+    """``rows`` with file, function, is_test, line and heat (0 where it has none) of the function in ``key``; rows of unknown functions are left out.
+
+    ``rows`` should be written or cheap. Functions and heats, one row each per id, meet first; then a function with very many rows is spread by
+    the hash of ``spread``.
+    """
+    known = nodes.select(F.col("id").alias("_n"), "file", F.col("name").alias("function"), "is_test", "line").join(heats.select(F.col("id").alias("_h"), "heat"), F.col("_n") == F.col("_h"), "left").drop("_h")
+    return salted_join(rows, known, key, "_n", F.col(spread), "inner").drop("_n").withColumn("heat", F.coalesce("heat", F.lit(0)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -184,14 +185,18 @@ def matches(lines: DataFrame, pattern: str, o: SearchOptions | None = None, key:
 def submatches(hits: DataFrame, pattern: str, o: SearchOptions | None = None) -> DataFrame:
     """``hits`` with submatches ARRAY<STRUCT<start, end>>: the byte spans [start, end) of all matches of a line, left to right.
 
-    The line is split at its matches; the lengths of the pieces in bytes, added up, are the spans, without any Python.
+    The line is split at its matches; the lengths of the pieces in bytes, added up, are the spans, without any Python. Of several patterns the
+    first one that matches at a place counts there.
     """
     o = o or SearchOptions()
-    rx = compiled(pattern, o)
+    rx = "|".join(f"(?:{compiled(p, o)})" for p in ([pattern, *o.patterns] if pattern is not None else o.patterns))
     found = F.regexp_extract_all("text", F.lit(rx), F.lit(0))
-    # a character that no text has marks the matches, so the pieces between them can be measured
-    mark = "\ue000"
-    gaps = F.split(F.regexp_replace("text", rx, mark), mark, -1)
+    # matches are marked by a run of a private character that is longer than any in the line, between two of another, so whatever characters the
+    # line has, the pieces between the marks can be measured
+    runs = F.regexp_extract_all("text", F.lit("\ue001+"), F.lit(0))
+    longest = F.when(F.col("text").contains("\ue001"), F.array_max(F.transform(runs, F.length))).otherwise(0)
+    mark = F.concat(F.lit("\ue000"), F.repeat(F.lit("\ue001"), longest + 1), F.lit("\ue000"))
+    gaps = F.split(F.regexp_replace("text", F.lit(rx), mark), mark, -1)
     pairs = F.arrays_zip(gaps.alias("gap"), found.alias("hit"))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.octet_length(x["gap"]) + F.coalesce(F.octet_length(x["hit"]), F.lit(0))).cast("long").alias("at"),
@@ -201,8 +206,15 @@ def submatches(hits: DataFrame, pattern: str, o: SearchOptions | None = None) ->
     return hits.withColumn("submatches", F.aggregate(pairs, start, step, lambda acc: acc["spans"]))
 
 
-def with_context(lines: DataFrame, is_match: Column, before: int, after: int, key: str = "path") -> DataFrame:
-    """key, line_number, text, is_match of the matching lines and those within ``before`` lines above or ``after`` below one."""
-    w = Window.partitionBy(key).orderBy("line_number").rowsBetween(-after, before)
-    flagged = lines.withColumn("is_match", F.coalesce(is_match, F.lit(False)))
-    return flagged.withColumn("_near", F.max(F.col("is_match").cast("int")).over(w)).filter("_near = 1").drop("_near")
+def with_context(texts: DataFrame, is_match: Callable[[Column], Column], before: int, after: int, key: str = "path", content: str = "content") -> DataFrame:
+    """key, line_number, text, is_match of the matching lines and those within ``before`` lines above or ``after`` below one.
+
+    The lines are chosen within the row of their text, before they become rows: nothing is shuffled, and lines that are not shown are never
+    made. Lines are those of ``sources.scan.lines``; texts without a match give no row.
+    """
+    body = F.split(F.regexp_replace(F.col(content), r"\n\z", ""), "\n", -1)
+    rows = texts.filter(F.col(content).isNotNull() & (F.col(content) != "")).select(F.col(key), body.alias("_t"))
+    rows = rows.withColumn("_m", F.transform("_t", lambda t: F.coalesce(is_match(t), F.lit(False)))).filter(F.array_contains("_m", True))
+    near = lambda i: F.array_contains(F.slice("_m", F.greatest(i + 1 - after, F.lit(1)), F.least(i, F.lit(after)) + 1 + before), True)
+    shown = F.filter(F.transform("_t", lambda t, i: F.struct((i + 1).cast("long").alias("line_number"), t.alias("text"), F.get("_m", i).alias("is_match"), near(i).alias("near"))), lambda x: x["near"])
+    return rows.select(key, F.explode(shown).alias("x")).select(key, "x.line_number", "x.text", "x.is_match")

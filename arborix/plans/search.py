@@ -57,7 +57,7 @@ def search_text(files: DataFrame, index: dict[str, DataFrame], pattern: str, fla
     stages = Stages(files.sparkSession, "text")
     hits = stages.put(enriched_matches(files, index, pattern, flags, limit=limit, **how))
     numbered = blocks.merge_blocks(hits, "path", "line_number", "qualified_name")
-    shown = blocks.block_lines(numbered.select("path", "block", "line_number"), lines(search.select_files(files, o)), o.before, o.after)
+    shown = blocks.block_lines(numbered.select("path", "block", "line_number"), lines(search.select_files(files, o).join(hits.select("path").distinct(), "path", "left_semi")), o.before, o.after)
     spans = numbered.select(F.col("path").alias("_p"), F.col("line_number").alias("_l"), "submatches")
     shown = shown.join(spans, (F.col("path") == F.col("_p")) & (F.col("line_number") == F.col("_l")) & F.col("is_match"), "left").drop("_p", "_l")
     code = shown.groupBy("path", "block").agg(F.array_sort(F.collect_list(F.struct("line_number", "text", "is_match", "submatches"))).alias("code"))

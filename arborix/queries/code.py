@@ -59,7 +59,7 @@ def search_submatches(spark, d):
 
 
 def search_context(spark, d):
-    return search.with_context(_lines(spark, d), F.col("text").contains(LITERAL), 2, 1, key="file_id").select("file_id", "line_number", "is_match")
+    return search.with_context(_files(spark, d), lambda t: t.contains(LITERAL), 2, 1, key="file_id").select("file_id", "line_number", "is_match")
 
 
 def search_scoped(spark, d):
@@ -264,7 +264,7 @@ def block_merge(spark, d):
 def block_context(spark, d):
     pts = Stages(spark, "bc").put(_points(spark, d).withColumn("same", F.lit("x")))
     b = blocks.merge_blocks(pts, "path", "line_number", "same")
-    f = _files(spark, d).select(F.concat_ws("/", "repo", "path").alias("path"), "content")
+    f = _files(spark, d).select(F.concat_ws("/", "repo", "path").alias("path"), "content").join(pts.select("path").distinct(), "path", "left_semi")
     return blocks.block_lines(b.select("path", "block", "line_number"), lines(f), 1, 1).select("path", "block", "line_number", "is_match")
 
 

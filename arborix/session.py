@@ -108,5 +108,10 @@ class Stages:
                 remove(self.spark, path)
 
 
+def written(df: DataFrame) -> bool:
+    """Whether the table is one that ``Stages.put`` gave back."""
+    return hasattr(df, "_arborix_path")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from arborix.extract.udtf import functions_of
 from arborix.operators import blocks, graph, intervals, search
+from arborix.operators.resolve import resolve
 from arborix.plans.search import search_json, search_text
 from arborix.sources.scan import lines
 
@@ -177,6 +178,66 @@ def test_spans_are_bytes(spark):
     assert spans == [(m.start(), m.end()) for m in re.finditer(b"needle", raw)]
 
 
+def test_spans_of_lines_with_private_characters(spark):
+    texts = ["\ue000 needle", "\ue000\ue001needle\ue001\ue001\ue000needle\ue001\ue000", "needle\ue000", "\ue000\ue001\ue000needle", "no"]
+    df = spark.createDataFrame([("a", i, t) for i, t in enumerate(texts)], "path string, line_number long, text string")
+    got = {r.line_number: [(s.start, s.end) for s in r.submatches] for r in search.submatches(df, "needle").collect()}
+    assert got == {i: [m.span() for m in re.finditer(b"needle", t.encode())] for i, t in enumerate(texts)}
+    two = search.submatches(df, "need", search.parse_flags(["-e", "\ue000"])).collect()
+    assert {r.line_number: [(s.start, s.end) for s in r.submatches] for r in two} == {i: [m.span() for m in re.finditer("need|\ue000".encode(), t.encode())] for i, t in enumerate(texts)}
+
+
+def test_context_is_chosen_within_the_text(spark):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["hit", "x", "y", ""]) for _ in range(rng.randint(1, 14))) for _ in range(40)] + ["", None, "hit", "hit\n", "x\nhit\n\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    for before, after in ((0, 0), (2, 1), (0, 3), (30, 0)):
+        got = sorted(tuple(r) for r in search.with_context(df, lambda t: t.contains("hit"), before, after, key="id").collect())
+        want = []
+        for i, t in enumerate(texts):
+            rows = (t[:-1] if t.endswith("\n") else t).split("\n") if t else []
+            m = ["hit" in x for x in rows]
+            want += [(i, k + 1, x, m[k]) for k, x in enumerate(rows) if any(m[max(0, k - after) : k + before + 1])]
+        assert got == sorted(want)
+
+
+def test_callers_of_hot_functions(spark):
+    """Walks over three levels through callees with very many callers, against a walk one edge at a time."""
+    rng = random.Random(4)
+    pairs = list(dict.fromkeys([(rng.randint(10, 2500), 1) for _ in range(3000)] + [(rng.randint(0, 30), rng.randint(0, 30)) for _ in range(150)] + [(1, 5), (5, 7), (1, 1)]))
+    rng.shuffle(pairs)
+    edges = spark.createDataFrame([(i, a, b, [f"c{i}"]) for i, (a, b) in enumerate(pairs)], graph.EDGES)
+    seeds = [1, 5, 7, 3, 999999]
+    into = {}
+    for i, (a, b) in enumerate(pairs):
+        into.setdefault(b, []).append((i, a))
+    want = set()
+    for s in seeds:
+        seen, front = {s}, [s]
+        for level in (1, 2, 3):
+            nxt = []
+            for v in front:
+                for i, a in into.get(v, []):
+                    if a not in seen:
+                        seen.add(a)
+                        nxt.append(a)
+                        want.add((s, a, level, i))
+            front = nxt
+    got = graph.callers(spark.createDataFrame([(s,) for s in [*seeds, 1, None]], "seed long"), edges, 3)
+    assert {(r.seed, r.caller, r.depth, r.edge_id) for r in got.collect()} == want and got.count() == len(want)
+    assert all(r.conditions == [f"c{r.edge_id}"] for r in got.collect())
+
+
+def test_a_name_that_all_use(spark):
+    nodes = spark.createDataFrame([(i, "new", f"m{i}::new", "rust", f"m{i}.rs", False, 1, 2) for i in range(3)] + [(9, "new", "x::new", "python", "x.py", False, 1, 2)], graph.NODES)
+    sites = spark.createDataFrame([(i, "rust" if i % 2 else "python", "new" if i % 3 else "m1::new") for i in range(6000)] + [(7000, None, "new"), (7001, "rust", None)], "site long, language string, raw string")
+    got = sorted((r.site, r.target) for r in resolve(sites, nodes, "raw", ["site"]).collect())
+    want = []
+    for i in range(6000):
+        want += [(i, 9)] if i % 2 == 0 else [(i, 1)] if i % 3 == 0 else [(i, t) for t in (0, 1, 2)]
+    assert got == sorted(want)
+
+
 def test_flags():
     o = search.parse_flags(["-i", "-C", "3", "-A1", "--before-context=x", "-t", "rust", "-g", "!*.md", "-m", "4"])
     assert (o.ignore_case, o.before, o.after, o.types, o.globs, o.max_count) == (True, 3, 1, ["rust"], ["!*.md"], 4)
