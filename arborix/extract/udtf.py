@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import is_test_path, language_for_path, normalize_path
+from ..session import spread
 from .base import allow_depth
 from .visitors import extract
 
 _SITES = "call_sites array<struct<callee_name:string,conditions:array<string>>>, reference_sites array<struct<target_name:string,kind:string,context:string>>"
 FUNCTIONS = f"repo string, path string, language string, fn_ord long, name string, qualified_name string, is_test boolean, line long, end_line long, {_SITES}"
 
+_CALL = pa.struct([("callee_name", pa.string()), ("conditions", pa.list_(pa.string()))])
+_REFERENCE = pa.struct([("target_name", pa.string()), ("kind", pa.string()), ("context", pa.string())])
+_ARROW = pa.schema(
+    [("repo", pa.string()), ("path", pa.string()), ("language", pa.string()), ("fn_ord", pa.int64()), ("name", pa.string()), ("qualified_name", pa.string()), ("is_test", pa.bool_()), ("line", pa.int64()), ("end_line", pa.int64()), ("call_sites", pa.list_(_CALL)), ("reference_sites", pa.list_(_REFERENCE))]
+)
+
 
 def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = True) -> DataFrame:
     """One row per function of ``files`` (path, content, optional repo), in the schema of ``FUNCTIONS``.
@@ -27,14 +34,17 @@ def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = Tr
     if not include_tests:
         rows = rows.filter("not file_is_test")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_depth()
-        for f in frames:
-            out = []
-            for r in f.itertuples(index=False):
-                found, _ = extract(r.content, r.path, r.language, bool(r.file_is_test), include_tests, strict)
+        for b in batches:
+            cols: list[list] = [[] for _ in _ARROW]
+            for repo, path, content, language, is_test in zip(*(b.column(c).to_pylist() for c in ("repo", "path", "content", "language", "file_is_test"))):
+                found, _ = extract(content, path, language, bool(is_test), include_tests, strict)
                 for i, x in enumerate(found):
-                    out.append((r.repo, r.path, r.language, i, x.name, x.qualified_name, x.is_test, x.line, x.end_line, [{"callee_name": c, "conditions": k} for c, k in x.call_sites], [{"target_name": t, "kind": "argument", "context": c} for t, c in x.reference_sites]))
-            yield pd.DataFrame(out, columns=["repo", "path", "language", "fn_ord", "name", "qualified_name", "is_test", "line", "end_line", "call_sites", "reference_sites"])
+                    calls = [{"callee_name": c, "conditions": k} for c, k in x.call_sites]
+                    refs = [{"target_name": t, "kind": "argument", "context": c} for t, c in x.reference_sites]
+                    for col, v in zip(cols, (repo, path, language, i, x.name, x.qualified_name, x.is_test, x.line, x.end_line, calls, refs)):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
 
-    return rows.mapInPandas(run, FUNCTIONS)
+    return spread(rows, "path").mapInArrow(run, FUNCTIONS)

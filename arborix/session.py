@@ -108,6 +108,15 @@ class Stages:
                 remove(self.spark, path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` over at least as many tasks as there are cores, for work that is heavy beside its input.
+
+    A table read in fewer parts than that is small (its parts are bounded) and is shuffled once by the hash of ``key``; any other stays as it is.
+    """
+    width = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= width else df.repartition(width, key)
+
+
 def written(df: DataFrame) -> bool:
     """Whether the table is one that ``Stages.put`` gave back."""
     return hasattr(df, "_arborix_path")
