@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import extension
 from ..operators.skew import SMALL, salted_join
-from ..session import Stages, shuffle_width
+from ..session import Stages, shuffle_width, spread
 from . import grammar
 
 # Thresholds, the same at every size of input.
@@ -310,7 +310,7 @@ def classify(files: DataFrame) -> DataFrame:
     when = F.unix_micros(F.col("modified_at").cast("timestamp")) if "modified_at" in files.columns else F.lit(None).cast("long")
     vendored = F.coalesce(F.col("path").rlike(_VENDORED), F.lit(False)).alias("_vendored")
     rows = files.select("file_id", F.coalesce(when, F.lit((1 << 63) - 1)).alias("_when"), vendored, F.coalesce("repo", F.lit("")).alias("repo"), extension("path").alias("_ext"), F.coalesce("content", F.lit("")).alias("_content"))
-    feats = rows.mapInPandas(_features, _SCHEMA)
+    feats = spread(rows, "file_id").mapInPandas(_features, _SCHEMA)
     folded = (F.col("n_tokens") * (1 - F.col("grammar_share")) >= SAVED) & (((F.col("rule_reuse") >= REUSE) & (F.col("grammar_share") <= REUSE_RATIO)) | (F.col("grammar_share") <= FOLDED))
     feats = stages.put(feats.withColumn("folded", folded))
     # who has a rule first, and whether two repositories have it at all, follows from a few sums and extremes, so nothing is gathered

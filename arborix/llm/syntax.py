@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..extract import js_parser, py_parser, rs_parser, svelte_parser
 from ..extract.base import allow_depth
 from ..functions.paths import extension, language_for_path
+from ..session import spread
 
 PARSERS = {
     "py": lambda t: py_parser.parse(t, memo=True),
@@ -54,7 +55,7 @@ def check(files: DataFrame) -> DataFrame:
     A null or empty content is valid. Files of other extensions, and rows without a path, are left out. Equal file_ids give a row each.
     """
     rows = files.select("file_id", extension("path").alias("_ext"), F.coalesce("content", F.lit("")).alias("_content")).filter(F.col("_ext").isin(*PARSERS))
-    return rows.mapInPandas(_check, "file_id long, faults array<struct<line:long,message:string>>")
+    return spread(rows, "file_id").mapInPandas(_check, "file_id long, faults array<struct<line:long,message:string>>")
 
 
 def invalid(files: DataFrame) -> DataFrame:
@@ -86,6 +87,6 @@ def rates(files: DataFrame) -> DataFrame:
             bad = [bool(PARSERS[e](c).faults) for e, c in zip(f["_ext"], f["_content"])]
             yield pd.DataFrame({"repo": f["repo"], "language": f["language"], "bad": bad})
 
-    rows = files.select("repo", language_for_path("path").alias("language"), extension("path").alias("_ext"), F.coalesce("content", F.lit("")).alias("_content")).filter(F.col("_ext").isin(*PARSERS))
-    each = rows.mapInPandas(count, "repo string, language string, bad boolean")
+    rows = files.select("repo", "path", language_for_path("path").alias("language"), extension("path").alias("_ext"), F.coalesce("content", F.lit("")).alias("_content")).filter(F.col("_ext").isin(*PARSERS))
+    each = spread(rows, "path").drop("path").mapInPandas(count, "repo string, language string, bad boolean")
     return each.groupBy("repo", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count_if("bad").alias("n_invalid")).withColumn("acceptance", 1 - F.col("n_invalid") / F.col("n_files"))

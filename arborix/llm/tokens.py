@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import Stages
+from ..session import Stages, spread
 
 #: Where the vocabulary files lie; only the driver reads them.
 TOKENIZERS = "/opt/tokenizers"
@@ -71,7 +71,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     c.clear()
         yield out()
 
-    return docs.select(text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return spread(docs.select(text), text).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def dictionary(counted: DataFrame, name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
@@ -162,7 +162,7 @@ def _place(docs: DataFrame, keep: list[str], text: str, name: str, folder: str,
     names = [*keep, value] + ([] if all_ else ["_at", "_word", "_row"])
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + (", ids array<int>" if ids else ", tokens long") + ("" if all_ else ", _at array<int>, _word array<string>, _row long")
-    placed = docs.select(*keep, text).mapInArrow(look_up, schema)
+    placed = spread(docs.select(*keep, text), keep[0]).mapInArrow(look_up, schema)
     if all_:
         return placed
     placed = stages.put(placed)

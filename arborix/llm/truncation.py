@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from ..extract import js_parser, py_parser, rs_parser, svelte_parser
 from ..extract.base import allow_depth
 from ..operators.skew import hot_counts_of, salted_join
-from ..session import Stages
+from ..session import Stages, spread
 from .mixing import source_key
 
 # Parameters of the length model: stretch of lengths with one hazard, how far below a limit trimmed texts may end, and how likely chance may make a limit.
@@ -298,7 +298,8 @@ def _evidence(docs: DataFrame, stages: Stages) -> DataFrame:
         lim = limits.filter(F.col("unit") == unit).groupBy("source", "at").agg(F.max(F.struct("posterior", "limit")).alias(f"l_{unit}")).withColumnRenamed("at", unit)
         base = base.join(F.broadcast(lim) if few else lim, ["source", unit], "left")
     lim = F.greatest("l_chars", "l_bytes")
-    return stages.put(base.select("doc_id", "source", "text", lim["posterior"].alias("post"), lim["limit"].alias("lim")).mapInArrow(_read, _READ), split="part")
+    rows = base.select("doc_id", "source", "text", lim["posterior"].alias("post"), lim["limit"].alias("lim"))
+    return stages.put(spread(rows, "doc_id").mapInArrow(_read, _READ), split="part")
 
 
 def score(docs: DataFrame) -> DataFrame:
