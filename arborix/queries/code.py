@@ -460,6 +460,13 @@ _SCORES = r"""sc AS (SELECT doc_id, label, regexp_extract(p, '^(\S+) ', 1) AS me
 _WS = r"trim(regexp_replace(text, '[ \t\n\r\f\v]+', ' ', 'g'), ' ')"
 
 
+def _json(**fields: str) -> str:
+    """One JSON object as text, without the keys whose value is null; ``json:`` marks a value that is JSON already."""
+    parts = [f"'\"{k}\":' || " + (v.removeprefix("json:") if v.startswith("json:") else f"CAST(to_json({v}) AS VARCHAR)") for k, v in fields.items()]
+    known = [f"CASE WHEN {v.removeprefix('json:')} IS NOT NULL THEN {p} END" for p, v in zip(parts, fields.values())]
+    return "'{' || array_to_string(list_filter([" + ", ".join(known) + "], lambda x: x IS NOT NULL), ',') || '}'"
+
+
 def _search(where: str) -> str:
     return f"WITH {_LINES} SELECT file_id, line_number, text FROM lines WHERE {where}"
 
@@ -518,6 +525,20 @@ WINDOW w AS (PARTITION BY seed, is_test ORDER BY heat DESC, file NULLS FIRST, li
   first AS (SELECT seed, function FROM info WHERE NOT is_test QUALIFY row_number() OVER (PARTITION BY seed ORDER BY heat DESC, file NULLS FIRST, line NULLS FIRST, function NULLS FIRST, edge_id) = 1)
 SELECT enc.path, enc.line_number, enc.node, coalesce(c.a, 0) AS n_callers, coalesce(c.b, 0) AS n_test_callers, coalesce(r.a, 0) AS n_references, coalesce(r.b, 0) AS n_test_references, first.function AS first_caller
 FROM enc LEFT JOIN {_COUNTS.format(t='info')} c ON c.seed = enc.node LEFT JOIN {_COUNTS.format(t='rinfo')} r ON r.seed = enc.node LEFT JOIN first ON first.seed = enc.node""",
+    "enriched_json": f"""WITH {_LINES}, {_NODES}, {_EDGES}, {_REFS}, {_HEAT}, {_POINTS},
+  enc AS (SELECT p.path, p.line_number, p.text, n.id AS node, n.qualified_name, n.name, n.is_test, n.line, n.language FROM pts p LEFT JOIN gn n ON n.repo || '/' || n.file = p.path AND n.end_line <> 0 AND p.line_number BETWEEN n.line AND n.end_line
+    QUALIFY row_number() OVER (PARTITION BY p.path, p.line_number ORDER BY n.line DESC NULLS LAST, n.id DESC NULLS LAST) = 1),
+  seeds AS (SELECT DISTINCT node AS seed FROM enc WHERE node IS NOT NULL), {_CALLERS}, {_RINFO},
+  c5 AS (SELECT seed, is_test, row_number() OVER w AS rnk, {_json(file='file', function='function', is_test='is_test', line='line', conditions='conditions')} AS j FROM (SELECT info.*, ge.conditions FROM info JOIN ge USING (edge_id, caller))
+    WINDOW w AS (PARTITION BY seed, is_test ORDER BY heat DESC, file NULLS FIRST, line NULLS FIRST, function NULLS FIRST, edge_id) QUALIFY rnk <= 5),
+  r5 AS (SELECT seed, is_test, row_number() OVER w AS rnk, {_json(file='file', function='function', is_test='is_test', line='line', context='context')} AS j FROM rinfo
+    WINDOW w AS (PARTITION BY seed, is_test ORDER BY heat DESC, file NULLS FIRST, line NULLS FIRST, function NULLS FIRST, ref_id) QUALIFY rnk <= 5),
+  cl AS (SELECT seed, string_agg(j, ',' ORDER BY rnk) FILTER (WHERE NOT is_test) AS a, string_agg(j, ',' ORDER BY is_test, rnk) AS b FROM c5 GROUP BY 1),
+  rl AS (SELECT seed, string_agg(j, ',' ORDER BY rnk) FILTER (WHERE NOT is_test) AS a, string_agg(j, ',' ORDER BY is_test, rnk) AS b FROM r5 GROUP BY 1),
+  m AS (SELECT enc.*, CASE WHEN node IS NOT NULL THEN '[' || coalesce(CASE WHEN enc.is_test THEN cl.b ELSE cl.a END, '') || ']' END AS callers, CASE WHEN node IS NOT NULL THEN '[' || coalesce(CASE WHEN enc.is_test THEN rl.b ELSE rl.a END, '') || ']' END AS refs_,
+      CASE WHEN nc.a > 5 THEN nc.a - 5 END AS hc, CASE WHEN nr.a > 5 THEN nr.a - 5 END AS hr, CASE WHEN nc.b > 0 THEN CASE WHEN enc.is_test THEN greatest(nc.b - 5, 0) ELSE nc.b END END AS htc, CASE WHEN nr.b > 0 THEN CASE WHEN enc.is_test THEN greatest(nr.b - 5, 0) ELSE nr.b END END AS htr
+    FROM enc LEFT JOIN cl ON cl.seed = node LEFT JOIN rl ON rl.seed = node LEFT JOIN {_COUNTS.format(t='info')} nc ON nc.seed = node LEFT JOIN {_COUNTS.format(t='rinfo')} nr ON nr.seed = node)
+SELECT path, line_number, {_json(callers='json:callers', content='text', file='path', function='name', function_line='line', hidden_callers='hc', hidden_references='hr', hidden_test_callers='htc', hidden_test_references='htr', is_test='is_test', language='language', line='line_number', qualified_name='qualified_name', references='json:refs_')} AS json FROM m""",
     "graph_roots": f"WITH {_NODES} SELECT id FROM gn WHERE id NOT IN (SELECT callee FROM edges WHERE callee IS NOT NULL AND caller IS NOT NULL)",
     "simple_paths": """WITH RECURSIVE t AS (SELECT DISTINCT caller, callee FROM call_tree WHERE caller IS NOT NULL AND callee IS NOT NULL),
   ids AS (SELECT caller AS id FROM call_tree WHERE caller IS NOT NULL UNION SELECT callee FROM call_tree WHERE callee IS NOT NULL),
