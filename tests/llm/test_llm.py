@@ -23,17 +23,94 @@ def files(spark, rows):
 # -- all queries -----------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(queries.all_queries()))
+@pytest.mark.parametrize("name", sorted(queries.all_sql()))
 def test_query(spark, sf, name):
     from oracle import compare, duck
 
-    q, sql = queries.all_queries()[name], queries.all_sql().get(name)
-    if sql is None:
-        df = q(spark, sf)
-        assert df.count() >= 0
-    else:
-        why, _, _ = compare(spark, duck(sf), sf, name, q, sql)
-        assert not why
+    q, sql = queries.all_queries()[name], queries.all_sql()[name]
+    why, _, _ = compare(spark, duck(sf), sf, name, q, sql)
+    assert not why
+
+
+def rows(spark, sf, name):
+    return queries.all_queries()[name](spark, sf).collect()
+
+
+def test_ids_of_the_documents(spark, sf):
+    """Every document of the tables against the tokenizer library."""
+    enc = exact()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert {r.doc_id: list(r.ids) for r in rows(spark, sf, "p7_ids")} == {i: enc.encode_ordinary(t) for i, t in docs.items()}
+
+
+def queue_one_by_one(sizes, targets, order, budget):
+    """(doc_id, source, turn, tokens, running) of queues that are served one document at a time; ``sizes``: doc_id -> (source, tokens)."""
+    all_ = []
+    for source, weight, repeats in targets:
+        mine = sorted((order[i], i) for i, (x, n) in sizes.items() if x == source and n > 0)
+        upto = 0
+        for turn in range(repeats):
+            for _, i in mine:
+                upto += sizes[i][1]
+                all_.append((upto / weight, source, i, turn))
+    out, run = [], 0
+    for _, s, i, turn in sorted(all_):
+        run += sizes[i][1]
+        if run > budget:
+            break
+        out.append((i, s, turn, sizes[i][1], run))
+    return out
+
+
+def test_mix_of_the_documents(spark, sf):
+    enc = exact()
+    key = lambda s: s.strip(" ").lower().replace("-", "_")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source", "text", F.xxhash64(F.lit(7), "doc_id").alias("h")).collect()
+    targets = spark.read.parquet(f"{sf}/mix_targets.parquet").collect()
+    sizes = {r.doc_id: (key(r.source) if r.source else None, len(enc.encode_ordinary(r.text or ""))) for r in docs}
+    budget = int(sum(n for _, n in sizes.values()) * targets[0].total_ratio)
+    want = queue_one_by_one(sizes, [(key(t.source), t.target_share, t.max_repeats) for t in targets], {r.doc_id: r.h for r in docs}, budget)
+    assert sorted(tuple(r) for r in rows(spark, sf, "p8_mix")) == sorted(want)
+    shares = {r.source: r for r in rows(spark, sf, "p8_shares")}
+    assert set(shares) == {key(t.source) for t in targets}
+    for s, r in shares.items():
+        mine = [x for x in want if x[1] == s]
+        assert (r.n_drawn, r.tokens, r.most_turns) == (len(mine), sum(x[3] for x in mine), max((x[2] + 1 for x in mine), default=0))
+        assert abs(r.reached_share - r.tokens / want[-1][4]) < 1e-9
+
+
+def test_faults_of_the_files(spark, sf):
+    """All p4 queries agree, and Python files with the interpreter."""
+    files_ = spark.read.parquet(f"{sf}/source_files.parquet").collect()
+    found = {r.file_id for r in rows(spark, sf, "p4_found")}
+    faults = {r.file_id: r for r in rows(spark, sf, "p4_faults")}
+    errors = rows(spark, sf, "p4_errors")
+    assert set(faults) == found and {(r.file_id, r.line, r.message) for r in errors if r.ord == 1} == {(i, r.first_line, r.first_fault) for i, r in faults.items()}
+    assert len(errors) == sum(r.n_faults for r in faults.values())
+    rates, langs = rows(spark, sf, "p4_rates"), {r.language: r for r in rows(spark, sf, "p4_languages")}
+    assert sum(r.n_invalid for r in rates) == len(found) and sum(r.n_files for r in rates) == len(files_)
+    assert {x: (sum(r.n_files for r in rates if r.language == x), sum(r.n_invalid for r in rates if r.language == x)) for x in langs} == {x: (r.n_files, r.n_invalid) for x, r in langs.items()}
+    for r in files_:
+        if r.path.endswith(".py"):
+            try:
+                compile(r.content or "", "x", "exec", dont_inherit=True)
+                valid = True
+            except SyntaxError as e:
+                # the compiler also refuses what the grammar allows, such as a return outside of a function
+                valid = "outside" in str(e)
+            assert valid == (r.file_id not in found), r.path
+
+
+def test_origins_and_truncations_agree(spark, sf):
+    origins = {r.file_id: r for r in rows(spark, sf, "p1_origins")}
+    assert {r.file_id for r in rows(spark, sf, "p1_found")} == {i for i, r in origins.items() if r.origin != "hand"}
+    assert set(origins) == {r.file_id for r in spark.read.parquet(f"{sf}/source_files.parquet").collect()}
+    assert all(r.source_id in origins for r in origins.values() if r.origin == "copy")
+    cut = rows(spark, sf, "p9_found")
+    rates = rows(spark, sf, "p9_rates")
+    assert len(cut) == len({r.doc_id for r in cut}) == sum(r.n_truncated for r in rates) > 0
+    assert all(r.n_at_limit <= r.n_truncated <= r.n_texts and abs(r.rate - r.n_truncated / r.n_texts) < 1e-9 for r in rates)
+    assert {(r.source, r.unit) for r in rows(spark, sf, "p9_limits")} <= {(r.source, u) for r in rates for u in ("chars", "bytes")}
 
 
 # -- p1 --------------------------------------------------------------------------------
@@ -319,25 +396,12 @@ def test_mix_is_that_of_queues_kept_one_by_one(spark):
     """Every drawn occurrence, its order and its running sum, against queues that are served one document at a time."""
     rng = random.Random(10)
     for k, ratio in enumerate((0.05, 0.4, 0.9, 1.7, 9.0)):
-        rows = [(rng.choice("aaaabbc"), rng.choice([1, 3, 3, 8, 20, 150])) for _ in range(700)]
+        table = [(rng.choice("aaaabbc"), rng.choice([1, 3, 3, 8, 20, 150])) for _ in range(700)]
         targets = [("a", 0.2, 1, ratio), ("b", 0.55, 3, ratio), ("c", 0.25, 5, ratio)]
-        df = spark.createDataFrame([(i,) for i in range(len(rows))], "doc_id long")
+        df = spark.createDataFrame([(i,) for i in range(len(table))], "doc_id long")
         order = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(7), "doc_id").alias("h")).collect()}
-        all_ = []
-        for s, weight, repeats, _ in targets:
-            mine = sorted((order[i], i) for i, (x, _) in enumerate(rows) if x == s)
-            upto = 0
-            for turn in range(repeats):
-                for _, i in mine:
-                    upto += rows[i][1]
-                    all_.append((upto / weight, s, i, turn))
-        want, run, budget = [], 0, int(sum(n for _, n in rows) * ratio)
-        for _, s, i, turn in sorted(all_):
-            run += rows[i][1]
-            if run > budget:
-                break
-            want.append((i, s, turn, rows[i][1], run))
-        drawn, _ = mixed(spark, rows, targets)
+        want = queue_one_by_one(dict(enumerate(table)), [t[:3] for t in targets], order, int(sum(n for _, n in table) * ratio))
+        drawn, _ = mixed(spark, table, targets)
         assert [tuple(r) for r in drawn] == want, k
 
 
