@@ -7,7 +7,6 @@ import sys
 from dataclasses import dataclass, field
 
 from .operators.search import parse_flags
-from .sources.scan import listed_paths
 
 USAGE = "arborix [--json | --compact] [--depth N] [--max-context N] [--include-tests] [--show-tests] [--color auto|always|never] [--build-index] [SEARCH FLAGS] PATTERN [PATH...]"
 _TAKES_VALUE = frozenset(["-e", "--regexp", "-t", "--type", "-T", "--type-not", "-g", "--glob", "-m", "--max-count", "-A", "-B", "-C"])
@@ -134,7 +133,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = local_session()
     spark.sparkContext.setLogLevel("ERROR")
     files, _ = scan_files(spark, root)
-    head = git.head_hash(root) if listed_paths(root) is not None else ""
+    head = git.head_hash(root) if git_root(root) else ""
     warehouse = os.environ.get("ARBORIX_WAREHOUSE", os.path.expanduser("~/.cache/arborix"))
     built = ensure_index(spark, files, "file://" + location(warehouse, root, c.include_tests), root, head, c.include_tests)
     if c.build_index:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.paths import language_ordinal, normalize_path
-from ..session import Stages, _fs, remove, small_table
+from ..session import Stages, _fs, fs_text, remove, small_table
 
 STATE = "repo string, path string, hash string"
 
@@ -41,14 +41,8 @@ class StateStore:
         self.pointer = f"{self.root}/CURRENT"
 
     def _read(self, path: str) -> str | None:
-        fs, p = _fs(self.spark, path)
-        if not fs.exists(p):
-            return None
-        stream = fs.open(p)
-        try:
-            return bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode().strip()
-        finally:
-            stream.close()
+        text = fs_text(self.spark, path)
+        return None if text is None else text.strip()
 
     def _write(self, path: str, text: str, overwrite: bool) -> bool:
         """Put a small file in place whole, by a rename; False if it must not be overwritten and is there."""

@@ -60,6 +60,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def fs_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file; None if there is none."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system; a missing one is no error."""
     try:

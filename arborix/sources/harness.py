@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import _fs
+from ..session import _fs, fs_text, small_table
 
 # The fields of the documents.
 TASK = "id string, repo struct<name:string,url:string,license:string,language:string>, issue struct<number:long,url:string,title:string>, ground_truth struct<pr_number:long,pr_url:string,pre_fix_commit:string,merge_commit:string>, prompt struct<title:string,body:string>, evaluation_focus array<string>"
@@ -39,13 +39,14 @@ def run_records(spark: SparkSession, root: str, tasks: DataFrame | None = None,
     """
     base = (root if "://" in root else f"file://{root}").rstrip("/") + "/runs"
     fs, at = _fs(spark, base)
-    found, names = fs.listFiles(at, True), []
-    while found.hasNext():  # some files per run; an evaluation has few runs
-        names.append((found.next().getPath().toString(),))
-    at = fs.resolvePath(at)
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "publish.json").load(base).select(F.col("path").alias("_at"), F.col("content").cast("string").alias("text"))
-    listed = spark.createDataFrame(names, "path string").join(texts, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("_at", "^file:/+", "/"), "left")
-    p = F.split(F.expr(f"substring(path, {len(at.toString()) + 2})"), "/")
+    names = []
+    if fs.exists(at):
+        found = fs.listFiles(at, True)
+        while found.hasNext():  # some files per run; an evaluation has few runs
+            names.append((found.next().getPath().toString(),))
+    texts = [(n, fs_text(spark, n)) for (n,) in names if n.endswith("/publish.json")]
+    listed = small_table(spark, names, "path string").join(small_table(spark, texts, "_at string, text string"), F.col("path") == F.col("_at"), "left")
+    p = F.split(F.expr(f"substring(path, {len(fs.makeQualified(at).toString()) + 2})"), "/")
     files = listed.select(p.alias("p"), "text").filter((F.size("p") >= 5) & (F.get("p", F.lit(1)) == "evaluations"))
     named = files.select(F.get("p", F.lit(0)).alias("task"), F.get("p", F.lit(2)).alias("agent"), F.get("p", F.lit(3)).alias("run_id"), F.array_join(F.slice("p", 5, F.size("p")), "/").alias("file"), "text")
     any_ = lambda c: F.coalesce(F.max(c), F.lit(False))

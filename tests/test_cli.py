@@ -35,11 +35,12 @@ def test_roots(tmp_path):
 
 
 def test_documents(spark, tmp_path):
-    for p in ("t1/codex/2/run.json", "t1/codex/1/run.json", "t1/codex/1/log.txt", "t2/other/3/run.json", "t2/stray.json"):
+    assert harness.run_records(spark, str(tmp_path)).count() == 0  # no runs yet
+    for p in ("t1/evaluations/codex/2/run.json", "t1/evaluations/codex/1/run.json", "t1/evaluations/codex/1/log.txt", "t2/evaluations/other/3/run.json", "t2/stray.json"):
         os.makedirs(os.path.dirname(tmp_path / "runs" / p), exist_ok=True)
         (tmp_path / "runs" / p).write_text("{}")
-    got = [(r.task, r.agent, r.run_id, r.n_files) for r in harness.run_records(spark, str(tmp_path / "runs")).collect()]
-    assert got == [("t2", "other", "3", 1), ("t1", "codex", "2", 1), ("t1", "codex", "1", 2)]
+    got = [(r.task, r.agent, r.run_id, r.status) for r in harness.run_records(spark, str(tmp_path)).collect()]
+    assert got == [("t2", "other", "3", "created"), ("t1", "codex", "2", "created"), ("t1", "codex", "1", "created")]
     (tmp_path / "j.json").write_text(json.dumps({"better_overall": "A", "scores": {"A": {"pr_alignment": 4}, "B": {"pr_alignment": 2, "test_alignment": 5}}}, indent=1))
     scores = harness.judgment_scores(harness.read_documents(spark, str(tmp_path / "j.json"), harness.JUDGMENT), "better_overall")
     assert {(r.label, r.measure, r.score) for r in scores.filter("score is not null").collect()} == {("A", "pr_alignment", 4), ("B", "pr_alignment", 2), ("B", "test_alignment", 5)}

@@ -87,3 +87,25 @@ def test_scan_and_git(spark, tmp_path):
     assert got == {("src/a.py", "committed"), ("src/b.py", "committed"), ("src/tests/t.py", "dirty"), ("new.py", "untracked")}
     assert git.parse_name_status(b"R100\0a\0b\0M\0c\0D\0") == ["a", "b", "c"]
     assert snapshot.location("/w", repo, True).endswith("/v1/with-tests")
+
+
+def test_scan_of_a_tree_without_a_repository(spark, tmp_path):
+    """Ignore files hold in every folder; names that begin with an underscore, empty files and deep folders count."""
+    tree = {
+        "pkg/__init__.py": "x = 1\n", "pkg/_private.py": "y = 2\n", "pkg/empty.py": "", "pkg/.hidden.py": "no", ".cache/a.py": "no", "README.md": "no",
+        ".ignore": "build/\n*.gen.py\n/top.py\n!keep.gen.py\n# comment\n\ndocs/**/old.py\n", "build/a.py": "no", "pkg/build/b.py": "no", "a.gen.py": "no", "pkg/b.gen.py": "no", "pkg/keep.gen.py": "z\n", "top.py": "no", "pkg/top.py": "t\n",
+        "docs/x/y/old.py": "no", "docs/old.py": "no", "docs/new.py": "n\n", "sub/.gitignore": "*.ts\n!deep/good.ts\n", "sub/a.ts": "no", "sub/deep/good.ts": "g\n", "sub/deep/bad.ts": "no", "other/a.ts": "o\n", "sub/deep/.ignore": "!bad.rs\nfoo*\n", "sub/deep/bad.rs": "b\n", "sub/deep/foo1.rs": "no",
+        **{f"many/{i}/{j}/f.js": f"{i}{j}\n" for i in range(9) for j in range(9)},
+    }
+    for path, text in tree.items():
+        f = tmp_path / path
+        f.parent.mkdir(parents=True, exist_ok=True)
+        f.write_text(text)
+    (tmp_path / "bad.py").write_bytes(b"\xff\xfe")
+    (tmp_path / "link.py").symlink_to(tmp_path / "pkg/_private.py")
+    files, bad = scan.scan_files(spark, str(tmp_path))
+    got = {r.path: r.content for r in files.collect()}
+    assert got == {p: t for p, t in tree.items() if t != "no" and not p.endswith("ignore")} and files.count() == len(got)
+    assert [r.path for r in bad.collect()] == ["bad.py"]
+    free = {r.path for r in scan.scan_files(spark, str(tmp_path), respect_ignores=False)[0].collect()}
+    assert free == {p for p in tree if p.rpartition(".")[2] in ("py", "ts", "rs", "js") and not any(x.startswith(".") for x in p.split("/"))}
