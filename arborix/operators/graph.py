@@ -163,9 +163,11 @@ def simple_paths(nodes: DataFrame, edges: DataFrame, starts: DataFrame | None =
         more = step.filter("goes").select(F.concat("chain", F.array("_to")).alias("chain"), F.col("_to").alias("tip"))
         stuck = step.groupBy("chain").agg(F.max("goes").alias("any")).filter("not any").select("chain")
         ended = stuck if ended is None else ended.unionByName(stuck)
-        open_ = more
-        if more.isEmpty():
+        n = more.count()
+        if not n:
             break
+        # every open chain ends in one path at least, so those behind the first `max_paths` in order need not grow
+        open_ = more if max_paths is None or n <= max_paths else stages.put(more.orderBy("chain").limit(max_paths))
     numbered = number_rows(ended, ["chain"], "path_id").select("path_id", "chain")
     return numbered if max_paths is None else numbered.filter(F.col("path_id") < max_paths)
 

@@ -20,13 +20,18 @@ MODES = ["reused", "incremental", "full_rebuild"]
 
 @dataclass
 class LoadOutcome:
-    """How the index came about, what changed, and its tables."""
+    """How the index came about, what changed (path), and its tables."""
 
     mode: str
-    changed_files: list[str] = field(default_factory=list)
+    changed: DataFrame | None = None
     tables: dict[str, DataFrame] = field(default_factory=dict)
     plans: list = field(default_factory=list)
 
+    @property
+    def changed_files(self) -> list[str]:
+        """The changed paths in order, gathered only for who asks for them."""
+        return [] if self.changed is None else [r["path"] for r in self.changed.orderBy("path").collect()]
+
 
 def merge_mode(a: str, b: str) -> str:
     """The one with more work."""
@@ -34,26 +39,26 @@ def merge_mode(a: str, b: str) -> str:
 
 
 def plan_actions(spark: SparkSession, now: DataFrame, state: DataFrame, same_head: bool, compatible: bool) -> DataFrame:
-    """language, action, changed: per language skip, reuse, refresh_head, incremental or full_rebuild.
+    """language, action, n_changed: per language skip, reuse, refresh_head, incremental or full_rebuild.
 
     ``now`` and ``state``: language, path, hash. No files and no state: skip. No state, or one of another shape: full_rebuild. No change: reuse
     at the same head and refresh_head at another.
     """
     key = lambda df: df.select(F.col("language").alias("repo"), "path", "hash")
-    diff = changes(key(now), key(state)).groupBy("repo").agg(F.sort_array(F.collect_list("path")).alias("changed")).withColumnRenamed("repo", "language")
+    diff = changes(key(now), key(state)).groupBy("repo").agg(F.count(F.lit(1)).alias("n_changed")).withColumnRenamed("repo", "language")
     langs = spark.createDataFrame([(n, k) for n, k, _ in LANGUAGES], "ordinal int, language string")
     here = now.groupBy("language").agg(F.count(F.lit(1)).alias("n_now"))
     there = state.groupBy("language").agg(F.count(F.lit(1)).alias("n_state"))
     rows = langs.join(here, "language", "left").join(there, "language", "left").join(diff, "language", "left")
     n_now, n_state = F.coalesce("n_now", F.lit(0)), F.coalesce("n_state", F.lit(0))
-    no_change = F.coalesce(F.size("changed"), F.lit(0)) <= 0
+    no_change = F.coalesce("n_changed", F.lit(0)) == 0
     action = (
         F.when((n_now == 0) & (n_state == 0), "skip")
         .when((n_state == 0) | ~F.lit(compatible), "full_rebuild")
         .when(no_change, "reuse" if same_head else "refresh_head")
         .otherwise("incremental")
     )
-    return rows.select("ordinal", "language", action.alias("action"), F.coalesce("changed", F.array().cast("array<string>")).alias("changed")).orderBy("ordinal")
+    return rows.select("ordinal", "language", action.alias("action"), F.coalesce("n_changed", F.lit(0)).alias("n_changed")).orderBy("ordinal")
 
 
 def ensure_index(spark: SparkSession, files: DataFrame, root: str, repo: str = "", head: str = "", include_tests: bool = True) -> LoadOutcome:
@@ -77,18 +82,18 @@ def ensure_index(spark: SparkSession, files: DataFrame, root: str, repo: str = "
     if tables and actions <= {"skip", "reuse", "refresh_head"} and meta.fingerprint == print_:
         if meta.head != head:
             store.refresh_head(wanted)
-        return LoadOutcome("reused", [], tables, plans)
+        return LoadOutcome("reused", None, tables, plans)
     if tables:
         touched = changes(now.select(F.col("language").alias("repo"), "path", "hash"), state.select(F.col("language").alias("repo"), "path", "hash")).select("path").distinct()
         touched = stages.put(touched)
         fresh = functions_of(keep.join(touched, "path", "left_semi"), include_tests)
         functions = tables["functions"].join(touched, "path", "left_anti").unionByName(fresh)
         mode = "incremental"
-        changed = [r["path"] for r in touched.orderBy("path").collect()]
+        changed = touched
     else:
         functions = functions_of(keep, include_tests)
         mode = "full_rebuild"
-        changed = [r["path"] for r in now.select("path").orderBy("path").collect()]
+        changed = now.select("path")
     functions = stages.put(functions.select(*[c.split()[0] for c in FUNCTIONS.split(", call_sites")[0].split(", ")], "call_sites", "reference_sites"))
     nodes, edges, refs = build_graph(functions)
     store.write({"functions": functions, "nodes": nodes, "edges": edges, "references": refs, "state": now}, wanted)
@@ -99,5 +104,5 @@ def describe(outcome: LoadOutcome) -> str:
     """The line an index build prints."""
     if outcome.mode == "reused":
         return "Index already up to date"
-    n = len(outcome.changed_files)
+    n = outcome.changed.count()
     return f"{'Built' if outcome.mode == 'full_rebuild' else 'Updated'} index ({n} {'file' if n == 1 else 'files'})"

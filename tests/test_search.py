@@ -238,6 +238,18 @@ def test_a_name_that_all_use(spark):
     assert got == sorted(want)
 
 
+def test_the_first_paths_of_many(spark):
+    """Chains that cannot be among the first paths are not followed, and the first are those of a full walk."""
+    rng = random.Random(7)
+    pairs = sorted({(a, b) for a, b in ((rng.randint(0, 14), rng.randint(0, 14)) for _ in range(45)) if a != b} | {(20, 0), (21, 3)})
+    edges = spark.createDataFrame([(i, a, b, []) for i, (a, b) in enumerate(pairs)], graph.EDGES)
+    nodes = spark.createDataFrame([(i,) for i in range(22)], "id long")
+    whole = [tuple(r.chain) for r in graph.simple_paths(nodes, edges, max_depth=6, max_paths=None).orderBy("path_id").collect()]
+    assert whole == sorted(whole) and len(whole) > 100
+    for n in (1, 7, 40):
+        assert [tuple(r.chain) for r in graph.simple_paths(nodes, edges, max_depth=6, max_paths=n).orderBy("path_id").collect()] == whole[:n]
+
+
 def test_flags():
     o = search.parse_flags(["-i", "-C", "3", "-A1", "--before-context=x", "-t", "rust", "-g", "!*.md", "-m", "4"])
     assert (o.ignore_case, o.before, o.after, o.types, o.globs, o.max_count) == (True, 3, 1, ["rust"], ["!*.md"], 4)
