@@ -75,7 +75,9 @@ def _run_of(left_out: str) -> tuple[re.Pattern, re.Pattern]:
     ops = [r"\.\.\.", "=>", "===", "!==", r"\*\*=", "&&=", r"\|\|=", r"\?\?=", "==", "!=", r"\*\*", "&&", r"\|\|", r"\?\?", r"\?\.(?!\d)", r"\+\+", "--", r"\+=", "-=", r"\*=", "%=", "&=", r"\|=", r"\^="]
     ops += [] if "<" in left_out else ["<<=", "<=", "<<"]
     singles = "".join("\\" + c for c in "{}()[];,<>+-*%&|^!~?:=.@#" if c not in left_out)
-    one = rf"{_BLANK}|{_EASY_NUM}|{_ID}|{_STR}|{'|'.join(ops)}|[{singles}]"
+    # names and marks that begin nothing longer come before the rest, since most tokens are such
+    alone = "".join("\\" + c for c in "()[];,{}" if c not in left_out)
+    one = rf"{_BLANK}|{_ID}|[{alone}]|{_EASY_NUM}|{_STR}|{'|'.join(ops)}|[{singles}]"
     return re.compile(rf"(?>{one})*+"), re.compile(one)
 
 
@@ -84,7 +86,7 @@ _RUNS = {(j, b): _run_of(("<" if j else "") + ("{}" if b else "")) for j in (Fal
 
 
 class _Kinds(dict):
-    """The class of a token from its text: kind and key word; None for blanks, 1 for those with a line break."""
+    """The class of a token from its text: kind, key word and its codes; None for blanks, 1 for those with a line break."""
 
     LIMIT = 300_000
 
@@ -106,6 +108,8 @@ class _Kinds(dict):
             k = (w, w)
         if len(self) >= self.LIMIT:
             self.clear()
+        if k not in (None, 1):
+            k = (*k, _CODES_SAME[k[1]], _CODES_NL[k[1]])
         self[w] = k
         return k
 
@@ -247,16 +251,17 @@ def lex(src: str, jsx: bool, typed: bool) -> Tokens:
                 if k == 1:
                     nl = True
                     continue
-                q, key = k
+                q, key, same, fresh = k
                 if (prev == "." or prev == "?.") and q in RESERVED:
                     q = key = "name"
                     if w in CONTEXTUAL:
                         key = w
+                    same, fresh = codes_same[key], codes_nl[key]
                 kind_add(q)
                 start_add(at)
                 end_add(pos)
                 nl_add(nl)
-                key_add(codes_nl[key] if nl else codes_same[key])
+                key_add(fresh if nl else same)
                 nl = False
                 if q in _MARKS:
                     if q in "([{":

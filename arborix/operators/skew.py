@@ -151,12 +151,12 @@ def heavy_keys(profile: DataFrame, share: float = 0.01) -> DataFrame:
     return profile.filter((F.col("n_distinct") > 0) & (F.col("n_distinct") >= F.lit(float(total) * share))).select("key", "n_distinct")
 
 
-def values_at_ranks(rows: DataFrame, value: str, ranks: list[int], bins: int = 4096) -> list[int]:
+def values_at_ranks(rows: DataFrame, value: str, ranks: list[int], bins: int = 256) -> list[int]:
     """The values of a BIGINT column at the given ranks (1 is the smallest value) in ascending order of all its rows, by distributed selection.
 
     Each round counts the rows of the open intervals in ``bins`` parts each; counts merge on the map side, so a task hands on at most ``bins``
     numbers per rank whatever its rows, and no value is gathered. A rank goes on in the part that holds it and is resolved when that is one
-    value wide: 64-bit values need at most six rounds. ``rows`` is read once per round and should be a written table. Null values are ignored;
+    value wide: 64-bit values need at most eight rounds. ``rows`` is read once per round and should be a written table. Null values are ignored;
     ranks below 1 or above the number of rows are an error.
     """
     base = rows.filter(F.col(value).isNotNull()).select(F.col(value).cast("long").alias("v"))
