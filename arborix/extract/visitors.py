@@ -269,7 +269,7 @@ class RustVisitor(Visitor):
             is_test = self.file_is_test or in_test or self.marked_test(node.f["attrs"])
             if is_test and not self.include_tests:
                 return
-            self.emit(node.v, scopes, node.f["name"] if False else self.from_fn(node), node.f["body"], is_test)
+            self.emit(node.v, scopes, self.from_fn(node), node.f["body"], is_test)
             return
         inner = [*scopes, node.v] if node.t == "impl" and node.v else scopes
         for k in node.k:

@@ -96,10 +96,15 @@ class StateStore:
             raise Conflict(f"another run has succeeded {before or 'the start'}")
         # in force from here on; the rest only saves time and space, and the next commit makes up for it
         self.swap(version)
+        old = self.follow(before, version)
+        if old:  # readers of the version just replaced still find it
+            remove(self.spark, f"{self.root}/{old}")
+
+    def follow(self, before: str | None, version: str) -> str | None:
+        """Note which version ``version`` replaced; the one that was replaced before that, if there is one."""
         old = self._read(f"{self.root}/before/{before}") if before else None
         self._write(f"{self.root}/before/{version}", before or self.FIRST, True)
-        if old and old != self.FIRST:  # readers of the version just replaced still find it
-            remove(self.spark, f"{self.root}/{old}")
+        return None if old in (None, self.FIRST) else old
 
     def commit(self, state: DataFrame, output: DataFrame | None = None, before: str | None | bool = False) -> str:
         """Write a version and put it in force as the successor of ``before`` (unless told, of the one in force now)."""

@@ -78,8 +78,10 @@ class IndexStore:
             tables[name].write.parquet(f"{self.root}/{v}/{name}")
         self.write_meta(v, meta)
         self.pointer.swap(v)
-        if old:
-            remove(self.spark, f"{self.root}/{old}")
+        # readers of the version just replaced still find it; the one before goes
+        older = self.pointer.follow(old, v)
+        if older:
+            remove(self.spark, f"{self.root}/{older}")
 
     def write_meta(self, version: str, meta: IndexMeta) -> None:
         self.spark.createDataFrame([(json.dumps(asdict(meta)),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/{version}/meta")
