@@ -289,6 +289,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _evidence(docs: DataFrame, stages: Stages) -> DataFrame:
     """The rows of ``_read`` of every non-blank text."""
     base = docs.filter(F.col("text").rlike(r"\S")).select("doc_id", _source(docs).alias("source"), "text", F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
+    base = spread(base, "doc_id")
     limits = stages.put(length_limits(docs).filter("source <> ''"))
     # a text of unknown source may come from any: the limits of all sources are its candidates
     anyone = limits.filter("at = limit and posterior > 0.9").groupBy("unit", "at").agg(F.max("limit").alias("limit"))
@@ -299,7 +300,7 @@ def _evidence(docs: DataFrame, stages: Stages) -> DataFrame:
         base = base.join(F.broadcast(lim) if few else lim, ["source", unit], "left")
     lim = F.greatest("l_chars", "l_bytes")
     rows = base.select("doc_id", "source", "text", lim["posterior"].alias("post"), lim["limit"].alias("lim"))
-    return stages.put(spread(rows, "doc_id").mapInArrow(_read, _READ), split="part")
+    return stages.put(rows.mapInArrow(_read, _READ), split="part")
 
 
 def score(docs: DataFrame) -> DataFrame:
