@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,9 +25,32 @@ _ARROW = pa.schema(
 )
 
 
-def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = True) -> DataFrame:
+def _list_array(lists: list[list[str]]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, *accumulate(map(len, lists))], pa.int32()), pa.array([*chain.from_iterable(lists)], pa.string()))
+
+
+class _Lists:
+    """Lists of (name, second) pairs as flat columns, without an object per pair."""
+
+    def __init__(self):
+        self.ends, self.names, self.seconds = [0], [], []
+
+    def add(self, pairs: list[tuple]) -> None:
+        for name, second in pairs:
+            self.names.append(name)
+            self.seconds.append(second)
+        self.ends.append(len(self.names))
+
+    def structs(self, kind: pa.DataType, rest) -> pa.Array:
+        """The lists as an Arrow column of structs; ``rest`` makes the fields behind the name."""
+        flat = pa.StructArray.from_arrays([pa.array(self.names, pa.string()), *rest(self.seconds)], fields=[kind.field(i) for i in range(kind.num_fields)])
+        return pa.ListArray.from_arrays(pa.array(self.ends, pa.int32()), flat)
+
+
+def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = True, references: bool = True) -> DataFrame:
     """One row per function of ``files`` (path, content, optional repo), in the schema of ``FUNCTIONS``.
 
+    Without ``references`` the reference sites, which take time of their own, are not looked for and come out empty.
     Files of other extensions, and test files unless ``include_tests``, are left out before their content is read. Files with syntax errors
     give what the parser could keep. A null or empty content gives no row; a missing repo column counts as null.
     """
@@ -36,15 +61,22 @@ def functions_of(files: DataFrame, include_tests: bool = True, strict: bool = Tr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allow_depth()
-        for b in batches:
-            cols: list[list] = [[] for _ in _ARROW]
-            for repo, path, content, language, is_test in zip(*(b.column(c).to_pylist() for c in ("repo", "path", "content", "language", "file_is_test"))):
-                found, _ = extract(content, path, language, bool(is_test), include_tests, strict)
-                for i, x in enumerate(found):
-                    calls = [{"callee_name": c, "conditions": k} for c, k in x.call_sites]
-                    refs = [{"target_name": t, "kind": "argument", "context": c} for t, c in x.reference_sites]
-                    for col, v in zip(cols, (repo, path, language, i, x.name, x.qualified_name, x.is_test, x.line, x.end_line, calls, refs)):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW)], schema=_ARROW)
+        # the trees have no cycles, so looking for any while they grow is in vain
+        gc.disable()
+        try:
+            for b in batches:
+                cols: list[list] = [[] for _ in range(9)]
+                calls, refs = _Lists(), _Lists()
+                for repo, path, content, language, is_test in zip(*(b.column(c).to_pylist() for c in ("repo", "path", "content", "language", "file_is_test"))):
+                    found, _ = extract(content, path, language, bool(is_test), include_tests, strict, references)
+                    for i, x in enumerate(found):
+                        calls.add(x.call_sites)
+                        refs.add(x.reference_sites)
+                        for col, v in zip(cols, (repo, path, language, i, x.name, x.qualified_name, x.is_test, x.line, x.end_line)):
+                            col.append(v)
+                plain = [pa.array(c, f.type) for c, f in zip(cols, _ARROW)]
+                yield pa.RecordBatch.from_arrays([*plain, calls.structs(_CALL, lambda c: [_list_array(c)]), refs.structs(_REFERENCE, lambda c: [pa.array(["argument"] * len(c), pa.string()), pa.array(c, pa.string())])], schema=_ARROW)
+        finally:
+            gc.enable()
 
     return spread(rows, "path").mapInArrow(run, FUNCTIONS)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.paths import language_ordinal
 from ..session import Stages, small_table, written
-from .resolve import resolve
+from .resolve import candidates, qualifier, resolve, simple_name
 from .skew import hot_counts, salted_join
 
 MAX_DEPTH, MAX_PATHS = 10, 100_000
@@ -30,12 +30,6 @@ def number_rows(df: DataFrame, order: list, name: str) -> DataFrame:
     return part.withColumn("_p", pid).join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_o") + low).cast("long")).drop("_m", "_p", "_o")
 
 
-def dense_nodes(functions: DataFrame) -> DataFrame:
-    """The nodes of extracted functions, numbered by language, path and order in the file."""
-    keyed = functions.select(language_ordinal("language").alias("_l"), "path", "fn_ord", "name", "qualified_name", "language", F.col("path").alias("file"), "is_test", "line", "end_line")
-    return number_rows(keyed, ["_l", "path", "fn_ord"], "id").select("id", "name", "qualified_name", "language", "file", "is_test", "line", "end_line", "fn_ord")
-
-
 def merge_conditions(site_ord, conditions):
     """The conditions of an edge from those of its sites: none if any site has none; else the first site's list, then what later sites add."""
     lists = F.transform(F.array_sort(F.collect_list(F.struct(site_ord.alias("o"), F.coalesce(conditions, F.array().cast("array<string>")).alias("c")))), lambda x: x["c"])
@@ -53,23 +47,76 @@ def build_references(sites: DataFrame) -> DataFrame:
     return sites.filter("referencer <> target").select("referencer", "target", "kind", "context").distinct()
 
 
+def numbered_functions(functions: DataFrame, sites: list[str]) -> DataFrame:
+    """The nodes of extracted functions, numbered by language, path and order in the file, with the columns ``sites``; they stay in the function's row."""
+    stages = Stages(functions.sparkSession, "graph")
+    keyed = functions.select(language_ordinal("language").alias("_l"), "path", "fn_ord", "name", "qualified_name", "language", "is_test", "line", "end_line", *sites)
+    numbered = number_rows(stages.put(keyed), ["_l", "path", "fn_ord"], "id")
+    return numbered.select("id", "name", "qualified_name", "language", F.col("path").alias("file"), "is_test", "line", "end_line", *sites)
+
+
+def call_edges(nodes: DataFrame) -> DataFrame:
+    """The edges of ``numbered_functions`` with their ids in the order of caller and callee.
+
+    Edges grow with the square of the functions that share a name, so no edge is shuffled or sorted as a row: every name has one sorted list of
+    its functions, the lists of a caller's names meet at the caller, and the last step counts the ids on from the edges of the callers before.
+    """
+    stages = Stages(nodes.sparkSession, "edges")
+    # language and name as one key (a language has no such character)
+    key = lambda language, name: F.when(language.isNotNull() & name.isNotNull(), F.concat_ws("\x01", language, name))
+    named = nodes.select(key(F.col("language"), F.col("name")).alias("n_key"), "id").filter("n_key is not null")
+    names = stages.put(named.groupBy("n_key").agg(F.sort_array(F.collect_list("id")).alias("callees")).withColumn("n", F.size("callees").cast("long")))
+    raw = F.col("s.callee_name")
+    sites = nodes.select(F.col("id").alias("caller"), "language", F.posexplode("call_sites").alias("site_ord", "s"))
+    sites = sites.select("caller", "site_ord", key(F.col("language"), simple_name(raw)).alias("s_key"), qualifier(raw).alias("q"), F.col("s.conditions").alias("conditions")).filter("s_key is not null")
+    known = salted_join(sites, names.select("n_key", "n"), "s_key", "n_key", F.col("caller"), "inner")
+    # sites without a qualifier mean all functions of their name, so they are merged before these are listed
+    site = F.struct("site_ord", "q", "conditions")
+    groups = known.groupBy("caller", "s_key").agg(F.max("n").alias("n"), F.max(F.col("q").isNotNull()).alias("asked"), merge_conditions(F.col("site_ord"), F.col("conditions")).alias("conditions"), F.collect_list(site).alias("sites"))
+    groups = stages.put(groups.withColumn("sites", F.when(F.col("asked"), F.col("sites"))))
+    lists = groups.filter("not asked").select("caller", "s_key", "n", "conditions")
+    own = None
+    if not groups.filter("asked").isEmpty():
+        own = stages.put(_qualified_lists(groups.filter("asked").select("caller", F.explode("sites").alias("s"), "s_key"), nodes, key))
+    sizes = lists.select("caller", "n") if own is None else lists.select("caller", "n").unionByName(own.select("caller", "n"))
+    starts, most = _starts(sizes, stages)
+    full = salted_join(lists, names.select("n_key", "callees"), "s_key", "n_key", F.col("caller"), "inner").select("caller", "callees", "conditions")
+    if own is not None:
+        full = full.unionByName(own.select("caller", "callees", "conditions"))
+    # the lists of a caller have no function in common; each callee carries the number of its list through the sort
+    both = full.groupBy("caller").agg(F.collect_list(F.struct("callees", "conditions")).alias("lists")).join(starts, "caller")
+    marked = F.sort_array(F.flatten(F.transform("lists", lambda x, i: F.transform(x["callees"], lambda c: c * F.lit(most) + i))))
+    rows = both.select("caller", "start", F.transform("lists", lambda x: x["conditions"]).alias("c"), F.posexplode(marked).alias("at", "m"))
+    return rows.select((F.col("start") + F.col("at")).alias("edge_id"), "caller", F.expr(f"m DIV {most}").alias("callee"), F.get("c", (F.col("m") % F.lit(most)).cast("int")).alias("conditions"))
+
+
+def _qualified_lists(sites: DataFrame, nodes: DataFrame, key) -> DataFrame:
+    """caller, callees, n, conditions of callers and names of which some site has a qualifier: a list for each set of conditions."""
+    s = sites.select(F.concat_ws("/", "caller", "s.site_ord").alias("site"), "caller", "s_key", "s.site_ord", "s.q", "s.conditions")
+    found = candidates(s, nodes, key(F.col("language"), F.col("name")), ["caller", "site_ord", "conditions"]).withColumnRenamed("target", "callee")
+    return build_edges(found).groupBy("caller", "conditions").agg(F.sort_array(F.collect_list("callee")).alias("callees")).select("caller", "callees", F.size("callees").cast("long").alias("n"), "conditions")
+
+
+def _starts(sizes: DataFrame, stages: Stages, bucket: int = 1 << 16) -> tuple[DataFrame, int]:
+    """(caller and the number of edges of all callers before it, most lists of a caller); ids of callers are dense, so a bucket of them is bounded."""
+    per = stages.put(sizes.groupBy("caller").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).withColumn("b", F.expr(f"caller DIV {bucket}")))
+    most = per.agg(F.max("k")).collect()[0][0] or 1
+    totals = per.groupBy("b").agg(F.sum("n").alias("t"))
+    before = totals.select("b", (F.sum("t").over(Window.orderBy("b")) - F.col("t")).alias("o"))  # one row per bucket
+    within = F.sum("n").over(Window.partitionBy("b").orderBy("caller")) - F.col("n")
+    return per.withColumn("w", within).join(F.broadcast(before), "b").select("caller", (F.col("o") + F.col("w")).cast("long").alias("start")), most
+
+
 def build_graph(functions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, references) of extracted functions, with ids in their fixed order."""
-    stages = Stages(functions.sparkSession, "graph")
-    fns = stages.put(functions)
-    nodes = stages.put(dense_nodes(fns))
+    nodes = numbered_functions(functions, ["call_sites", "reference_sites"])
     plain = nodes.select("id", "name", "qualified_name", "language", "file", "is_test", "line", "end_line")
-    owned = fns.join(nodes.select("id", F.col("file").alias("path"), "fn_ord"), ["path", "fn_ord"])
-    calls = owned.select(F.col("id").alias("caller"), "language", F.posexplode("call_sites").alias("site_ord", "s")).select("caller", "language", "site_ord", F.col("s.callee_name").alias("raw"), F.col("s.conditions").alias("conditions"))
-    calls = calls.withColumn("site", F.concat_ws("/", "caller", "site_ord"))
-    sites = resolve(calls, plain, "raw", ["site", "caller", "site_ord", "conditions"]).withColumnRenamed("target", "callee")
-    edges = number_rows(build_edges(sites), [F.col("caller"), F.col("callee")], "edge_id").select("edge_id", "caller", "callee", "conditions")
-    marks = owned.select(F.col("id").alias("referencer"), "language", F.posexplode("reference_sites").alias("site_ord", "s")).select("referencer", "language", "site_ord", F.col("s.target_name").alias("raw"), F.col("s.kind").alias("kind"), F.col("s.context").alias("context"))
+    marks = nodes.select(F.col("id").alias("referencer"), "language", F.posexplode("reference_sites").alias("site_ord", "s")).select("referencer", "language", "site_ord", F.col("s.target_name").alias("raw"), F.col("s.kind").alias("kind"), F.col("s.context").alias("context"))
     marks = marks.withColumn("site", F.concat_ws("/", "referencer", "site_ord"))
     found = build_references(resolve(marks, plain, "raw", ["site", "referencer", "kind", "context"]))
     order = [F.col("referencer"), F.col("target"), F.col("context").asc_nulls_first()]
     references = number_rows(found, order, "ref_id").select("ref_id", "referencer", "target", "kind", "context")
-    return plain, edges, references
+    return plain, call_edges(nodes), references
 
 
 def merge_graphs(spark: SparkSession, graphs: list[tuple[DataFrame, DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -29,11 +29,15 @@ def resolve(sites: DataFrame, nodes: DataFrame, raw: str, keep: list[str]) -> Da
     only those count; otherwise all do. Null names and languages resolve to nothing.
     """
     s = sites.select("site", *[c for c in keep if c != "site"], F.col("language").alias("s_lang"), simple_name(F.col(raw)).alias("s_name"), qualifier(F.col(raw)).alias("q"))
-    n = nodes.select(F.col("id").alias("target"), F.col("language").alias("n_lang"), F.col("name").alias("n_name"), F.col("qualified_name").alias("n_qual"), module_name(normalize_path("file"), "language").alias("n_mod"))
     # language and name as one key (a language has no such character), so that the sites of a name that all use are spread
     both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x01", a, b))
     s = Stages(sites.sparkSession, "resolve").put(s.withColumn("s_key", both("s_lang", "s_name")).drop("s_lang"))
-    n = n.withColumn("n_key", both("n_lang", "n_name")).drop("n_lang", "n_name")
+    return candidates(s, nodes, both("language", "name"), keep)
+
+
+def candidates(s: DataFrame, nodes: DataFrame, key: Column, keep: list[str]) -> DataFrame:
+    """``resolve`` for sites that have their key ``s_key`` and their qualifier ``q``; ``key`` is that of the nodes. ``s`` should be cheap to read."""
+    n = nodes.select(F.col("id").alias("target"), key.alias("n_key"), F.col("qualified_name").alias("n_qual"), module_name(normalize_path("file"), "language").alias("n_mod"))
     cand = salted_join(s, n, "s_key", "n_key", F.col("site"), "inner")
     hit = F.coalesce(F.col("n_qual").startswith(F.concat("q", F.lit("::"))) | (F.col("n_mod") == F.col("q")), F.lit(False))
     # only sites with a qualifier need to know whether any candidate has it

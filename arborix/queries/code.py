@@ -380,7 +380,7 @@ def code_graph(spark, d):
     from ..extract.udtf import functions_of
 
     f = read(spark, d, "source_files").select(F.concat_ws("/", "repo", "path").alias("path"), "content")
-    _, edges, _ = graph.build_graph(functions_of(f))
+    edges = graph.call_edges(graph.numbered_functions(functions_of(f, references=False), ["call_sites"]))
     return edges.select("edge_id", "caller", "callee", F.array_join("conditions", " && ").alias("conditions"))
 
 

@@ -1,13 +1,16 @@
 """Small source trees with the functions, calls, conditions and references that they must give, and the whole call graph against plain Python."""
 
+import glob
+
 import pytest
 
 from arborix.extract.base import allow_depth
 from arborix.extract.udtf import functions_of
 from arborix.extract.visitors import extract, module_of
 from arborix.functions.paths import EXTENSIONS, LANGUAGES
-from arborix.operators.graph import build_graph
+from arborix.operators.graph import build_graph, call_edges, numbered_functions
 from arborix.queries import code
+from arborix.session import shared_dir
 
 ROUTES = """fn main() {
     let app = router();
@@ -150,6 +153,53 @@ def test_all_trees_together_against_plain_python(spark):
     assert len(got) == 30 and got == plain_graph(files)
 
 
+def test_edges_of_a_name_that_all_share_are_not_written_as_rows(spark):
+    """120 functions of one name, each of which calls it: 14,400 edges, of which no intermediate table may hold a row each."""
+    mod = lambda i: f"def same():\n    if a:\n        same()\n    other{i}()\n\ndef other{i}():\n    pass\n"
+    files = [(f"r/m{i:03}.py", mod(i)) for i in range(120)]
+    before = set(glob.glob(f"{shared_dir(spark)}/arborix/*/*"))
+    edges = call_edges(numbered_functions(functions_of(spark.createDataFrame(files, "path string, content string"), references=False), ["call_sites"]))
+    got = sorted((r.edge_id, r.caller, r.callee, " && ".join(r.conditions)) for r in edges.collect())
+    written = set(glob.glob(f"{shared_dir(spark)}/arborix/*/*")) - before
+    assert len(got) == 120 * 121 and got == plain_graph(files)
+    assert written and max(spark.read.parquet(p).count() for p in written) <= 240
+
+
+def test_edges_of_qualified_and_plain_sites_together(spark):
+    """A caller that names a function with and without its type, of types that are there and that are not."""
+    files = [
+        ("r/a.rs", "struct A;\nimpl A { fn new() {} fn go() { if x { A::new(); } new(); } }\nfn one() { if y { B::new(); } if z { A::new(); } C::new(); }\n"),
+        ("r/b.rs", "struct B;\nimpl B { fn new() {} }\nfn two() { if p { B::new(); } one(); b::new(); }\n"),
+        ("r/c.rs", "fn new() {}\nfn three() { match k { 1 => c::new(), _ => new() } two(); one(); }\n"),
+    ]
+    edges = call_edges(numbered_functions(functions_of(spark.createDataFrame(files, "path string, content string"), references=False), ["call_sites"]))
+    got = sorted((r.edge_id, r.caller, r.callee, " && ".join(r.conditions)) for r in edges.collect())
+    assert len(got) >= 10 and got == plain_graph(files)
+
+
+def test_calls_without_references_are_the_same_calls(spark, sf):
+    """Statements of a known shape are not parsed again where only calls count: each file twice, so that all shapes are known."""
+    rows = [(f"{r.repo}/{r.path}", r.content) for r in spark.read.parquet(f"{sf}/source_files.parquet").collect()]
+    rows += [(p, t) for tree, *_ in TREES.values() for p, t in tree.items()]
+    more = {
+        "s.js": "a(b(c), d[e()]);\nx.y(1).z(`${f(g)}`);\nlet h = () => { i(j); };\nk(function () { l(m); });\na(b(c), d[e()]);\nfoo(o ? p() : q());\nasync (r);\n",
+        "s.py": "a(b(c), d[e()])\nx.y(1).z(f'{f(g)}')\nh = lambda: i(j)\nk(lambda: l(m))\nif n(): o(); p()\n",
+        "s.rs": "fn a() { b(c(1), d); e.f::<G>(2).h(); let i = |j| k(j); let l = if m() { n() } else { o() }; q!(r()); }\n",
+        "s.svelte": "<script>function a() { b(c); }</script>\n<p on:click={() => d(e)}>{f(g)}</p>\n",
+    }
+    rows += list(more.items())
+    allow_depth()
+    seen = 0
+    for path, content in [*rows, *rows]:
+        language = EXTENSIONS.get(path.rsplit("/", 1)[-1].rpartition(".")[2])
+        if language and content:
+            full, calls = (extract(content, path, language, False, True, True, r)[0] for r in (True, False))
+            key = lambda fs: [(f.name, f.qualified_name, f.is_test, f.line, f.end_line, f.call_sites) for f in fs]
+            assert key(full) == key(calls) and not any(f.reference_sites for f in calls)
+            seen += len(calls)
+    assert seen > 100
+
+
 def test_extracted_functions_against_plain_python(spark, sf):
     rows = spark.read.parquet(f"{sf}/source_files.parquet").collect()
     want = set()
